@@ -1,0 +1 @@
+"""texlake: math-bearing text at table scale, on Spark."""
