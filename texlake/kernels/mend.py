@@ -11,7 +11,7 @@ CONTROL = r"[\x00-\x1f\x7f]"
 DROPPED = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
 _CONTROL, _DROPPED, _ANSI = re.compile(CONTROL), re.compile(DROPPED), re.compile(ANSI)
-_HARD = re.compile(r"[\x08\x0c](?=[^\W\d_])|\x0b([A-Za-z]+)")
+_HARD = re.compile(r"[\x08\x0c]|\x0b([A-Za-z]+)")
 _SOFT = re.compile(r"([\t\n\r])([A-Za-z]+)(:?)")
 _LETTER = {"\t": "t", "\n": "n", "\r": "r"}
 _BLANK = str.maketrans("\t\n\r", "   ")
@@ -25,6 +25,8 @@ def one_prior_dollars(text: str) -> list[int]:
 def _hard(m: re.Match) -> str:
     if m[0][0] == "\x0b":
         return "\\v" + m[1] if "v" + m[1] in KNOWN_COMMANDS else m[0]
+    if not m.string[m.end() : m.end() + 1].isalpha():
+        return m[0]
     return "\\b" if m[0] == "\x08" else "\\f"
 
 
