@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = shared_checkpoint(large.where("u <> v").distinct())
+        large = large.where("u <> v").distinct()
         # small star: each node and its smaller neighbours hang on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

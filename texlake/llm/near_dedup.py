@@ -13,9 +13,10 @@ can be aligned, and the band loses nothing.
 
 Work is linear in the size of a group. Equal k-mer sequences collapse into a class before any pair is made.
 A bucket of up to ``small_bucket`` classes gives all its pairs (a constant bound); a larger one gives a star
-around its first class. Then buckets whose classes still lie in several components are compared exhaustively,
-those outside the bucket's largest component against all in blocks of ``block`` classes, so a star loses no
-candidate pair. Pairs that are linked already are skipped.
+around its first class. In the next rounds the classes of a bucket that lie outside its largest component are
+compared with another class of that component. What still lies in several components is compared
+exhaustively, the classes outside the largest component against all in blocks of ``block`` classes, so stars
+lose no candidate pair. Pairs that are linked already are skipped.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class DedupParams:
     sketches: int = 16
     per_sketch: int = 3
     small_bucket: int = 8
-    block: int = 64
+    star_rounds: int = 3
+    block: int = 256
     seed: int = 11
 
 
@@ -152,29 +154,62 @@ def sketch(docs: DataFrame, p: DedupParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, SKETCH)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: DedupParams) -> DataFrame:
-    """The pairs (a, b) whose texts align at the least similarity, with it."""
+def sequence_table(docs: DataFrame, reps: DataFrame, p: DedupParams) -> DataFrame:
+    """(rep, seq): the k-mer hashes of the classes in ``reps`` as bytes, so that no text is read twice."""
+
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([s.tobytes() for s in sequences(as_strings(texts), p.k)], pa.binary())
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
+    return texts.groupBy("rep").agg(F.min("text").alias("text")).select("rep", packed("text").alias("seq"))
+
+
+def unpack(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def verified(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
+    """The pairs (a, b) whose sequences align at the least similarity, with it."""
 
     @F.arrow_udf("double")
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = [aligned_similarity(a, b, p.similarity) for a, b in zip(sequences(as_strings(left), p.k), sequences(as_strings(right), p.k), strict=True)]
-        return pa.array(out, pa.float64())
+        return pa.array([aligned_similarity(a, b, p.similarity) for a, b in zip(unpack(left), unpack(right), strict=True)], pa.float64())
 
-    left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("ta", "tb").alias("similarity"))
+    left, right = seqs.select(F.col("rep").alias("a"), F.col("seq").alias("sa")), seqs.select(F.col("rep").alias("b"), F.col("seq").alias("sb"))
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("sa", "sb").alias("similarity"))
     return scored.where(F.col("similarity") >= p.similarity)
 
 
-def verified_blocks(units: DataFrame, texts: DataFrame, p: DedupParams) -> DataFrame:
+def shared_counts(left: list[np.ndarray], seqs: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Number of equal items of each of ``left`` with each of ``seqs``, as products of 0/1 matrices, some columns at once."""
+    items, where = np.unique(np.concatenate([*left, *seqs]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(seqs)), [len(s) for s in [*left, *seqs]])
+    out = np.zeros((len(left), len(seqs)), np.float32)
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    for low in range(0, len(items), columns):
+        a, b = np.searchsorted(where, [low, low + columns])
+        part = np.zeros((len(left) + len(seqs), min(columns, len(items) - low)), np.float32)
+        part[row[a:b], where[a:b] - low] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def verified_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
     """Links between unlinked classes of a unit: those of its left side with all others.
 
-    A unit holds at most two blocks of classes, whatever the size of its bucket.
+    A unit holds at most two blocks of classes, whatever the size of its bucket. Only pairs that share enough
+    k-mers to reach the similarity are aligned.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("left", "descending"), ("rep", "ascending")])
-        reps, comps, left = (table[c].to_pylist() for c in ("rep", "component", "left"))
-        seqs = list(sequences(as_strings(table["text"]), p.k))
+        reps, comps = table["rep"].to_pylist(), table["component"].to_pylist()
+        seqs, n_left = unpack(table["seq"]), int(sum(table["left"].to_pylist()))
+        sizes = np.array([len(s) for s in seqs])
+        shared = shared_counts(seqs[:n_left], seqs)
+        enough = shared >= p.similarity / (1 + p.similarity) * (sizes[:n_left, None] + sizes[None, :]) - 1e-6
         parent = {c: c for c in comps}
 
         def root(c):
@@ -183,15 +218,14 @@ def verified_blocks(units: DataFrame, texts: DataFrame, p: DedupParams) -> DataF
             return c
 
         out = []
-        for i in range(sum(left)):
-            for j in range(i + 1, len(reps)):
-                if root(comps[i]) != root(comps[j]) and (s := aligned_similarity(seqs[i], seqs[j], p.similarity)) >= p.similarity:
-                    parent[root(comps[i])] = root(comps[j])
-                    out.append((min(reps[i], reps[j]), max(reps[i], reps[j]), s))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
+            if j > i and root(comps[i]) != root(comps[j]) and (s := aligned_similarity(seqs[i], seqs[j], p.similarity)) >= p.similarity:
+                parent[root(comps[i])] = root(comps[j])
+                out.append((min(reps[i], reps[j]), max(reps[i], reps[j]), s))
         a, b, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
-    rows = units.join(texts, "rep").select("key", "i", "j", "rep", "component", "left", "text")
+    rows = units.join(seqs, "rep").select("key", "i", "j", "rep", "component", "left", "seq")
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
 
 
@@ -234,34 +268,54 @@ def links_of(docs: DataFrame, classes: DataFrame, p: DedupParams) -> tuple[DataF
     small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["rep"] > F.col("x.rep"))).alias("y"))
     small = small.where(near(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     pairs = shared_checkpoint(star.union(small).distinct())
-    used = buckets.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(used, "rep", "left_semi")
-    texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
-    links = shared_checkpoint(verified(pairs, texts, p))
+    large = buckets.where(F.col("size") > p.small_bucket).select("key", "rep", "n", "size")
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
+    seqs = shared_checkpoint(sequence_table(docs, compared, p))
+    links = shared_checkpoint(verified(pairs, seqs, p))
     components = shared_checkpoint(connected_components(links, "a", "b"))
-    units = residual_units(buckets, components, p)
-    if units is not None:
-        more = shared_checkpoint(verified_blocks(units, texts, p).distinct())
-        links = links.union(more.join(links, ["a", "b"], "left_anti")).dropDuplicates(["a", "b"])
-        components = shared_checkpoint(connected_components(links, "a", "b"))
+    for turn in range(1, p.star_rounds):
+        odd = split_buckets(large, components, turn, p)
+        if odd is None:
+            return links, components
+        around = odd.where(F.col("component") != F.col("main.component")).where(near(F.col("n"), F.col("main.n")))
+        around = around.select(F.least("rep", "main.rep").alias("a"), F.greatest("rep", "main.rep").alias("b")).distinct()
+        fresh = shared_checkpoint(around.join(pairs, ["a", "b"], "left_anti"))
+        found = shared_checkpoint(verified(fresh, seqs, p))
+        pairs = shared_checkpoint(pairs.union(fresh))
+        if found.isEmpty():
+            break
+        links, components = merged(links, found)
+    odd = split_buckets(large, components, 0, p)
+    if odd is not None:
+        links, components = merged(links, verified_blocks(residual_units(odd, p), seqs, p))
     return links, components
 
 
-def residual_units(buckets: DataFrame, components: DataFrame, p: DedupParams) -> DataFrame | None:
-    """Blocks of the large buckets whose classes lie in several components; None if there are none."""
-    large = buckets.where(F.col("size") > p.small_bucket).select("key", "rep", "size")
-    large = large.join(components.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = large.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = parts.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = large.join(main.select("key", "top.main", "top.c"), "key").withColumn("odd", F.col("component") != F.col("main"))
-    mixed = shared_checkpoint(mixed)
-    if mixed.isEmpty():
-        return None
-    odd, blocks = F.ceil((F.col("size") - F.col("c")) / p.block).cast("int"), F.ceil(F.col("size") / p.block).cast("int")
+def merged(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    links = shared_checkpoint(links.union(more).dropDuplicates(["a", "b"]))
+    return links, shared_checkpoint(connected_components(links, "a", "b"))
+
+
+def split_buckets(large: DataFrame, components: DataFrame, turn: int, p: DedupParams) -> DataFrame | None:
+    """The large buckets whose classes lie in several components, with a class of the largest one (another each turn)
+    and that component's count; None if there are none."""
+    rows = large.join(components.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    place = F.xxhash64("rep", F.lit(p.seed + turn))
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(place.alias("place"), "rep", "n")).alias("pick"))
+    main = F.max(F.struct("c", "component", "pick.rep", "pick.n")).alias("main")
+    mixed = parts.groupBy("key").agg(main, F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    mixed = shared_checkpoint(rows.join(mixed, "key"))
+    return None if mixed.isEmpty() else mixed
+
+
+def residual_units(mixed: DataFrame, p: DedupParams) -> DataFrame:
+    """Blocks of buckets: each block of classes outside the largest component with each block of all classes."""
+    odd, blocks = F.ceil((F.col("size") - F.col("main.c")) / p.block).cast("int"), F.ceil(F.col("size") / p.block).cast("int")
     place = F.xxhash64("rep", F.lit(p.seed))
-    mixed = mixed.withColumn("bi", F.pmod(place, odd).cast("int")).withColumn("bj", F.pmod(place, blocks).cast("int")).withColumn("n_i", odd).withColumn("n_j", blocks)
-    left = mixed.where("odd").select("key", "rep", "component", F.col("bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(1).alias("left"))
-    right = mixed.select("key", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.col("bj").alias("j"), F.lit(0).alias("left"))
+    rows = mixed.withColumn("odd", F.col("component") != F.col("main.component"))
+    rows = rows.withColumn("bi", F.pmod(place, odd).cast("int")).withColumn("bj", F.pmod(place, blocks).cast("int")).withColumn("n_i", odd).withColumn("n_j", blocks)
+    left = rows.where("odd").select("key", "rep", "component", F.col("bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(1).alias("left"))
+    right = rows.select("key", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.col("bj").alias("j"), F.lit(0).alias("left"))
     return left.union(right).groupBy("key", "i", "j", "rep", "component").agg(F.max("left").alias("left"))
 
 
