@@ -13,6 +13,7 @@ class has no rows, the score is the share of label 1 (0.5 without labels).
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,13 +55,6 @@ def index_vectors(n: int, dims: int, nonzero: int, seed: int) -> np.ndarray:
     return out
 
 
-def top_values(distinct: pa.Array, codes: np.ndarray, limit: int) -> pa.Array:
-    """The ``limit`` most frequent values that occur twice or more; ties by value."""
-    counts = np.bincount(codes, minlength=len(distinct))
-    order = sorted(np.flatnonzero(counts > 1).tolist(), key=lambda i: (-counts[i], distinct[i].as_py()))
-    return distinct.take(pa.array(order[:limit], type=pa.int64()))
-
-
 def positions_in(values: pa.Array, vocabulary: pa.Array) -> np.ndarray:
     """Index of each value in the vocabulary; len(vocabulary) for those outside."""
     if not len(vocabulary):
@@ -104,28 +98,47 @@ class QualityModel:
         return out
 
 
+#: Bytes of text at once in training, which runs on the driver.
+TRAIN_SLICE = 1 << 20
+
+
+def vocabulary(texts: pa.Array, p: QualityParams) -> tuple[pa.Array, pa.Array]:
+    """The most frequent lower-cased words and the most frequent shapes of the sample."""
+    words: Counter = Counter()
+    shapes: Counter = Counter()
+    for _, part in text_slices(texts, TRAIN_SLICE):
+        distinct, codes, _ = words_of(part)
+        counts = np.bincount(codes, minlength=len(distinct))
+        for kept, values in ((words, pc.utf8_lower(distinct)), (shapes, shapes_of(distinct))):
+            encoded = values.dictionary_encode()
+            sums = np.bincount(np.asarray(encoded.indices), weights=counts, minlength=len(encoded.dictionary)).astype(int)
+            often = np.flatnonzero(sums > 1)
+            kept.update(dict(zip(encoded.dictionary.take(pa.array(often)).to_pylist(), sums[often].tolist(), strict=True)))
+    top = lambda counted, limit: [w for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:limit]]
+    return pa.array(top(words, p.max_words), pa.string()), pa.array(top(shapes, p.max_shapes), pa.string())
+
+
 def unit_vectors(texts: pa.Array, p: QualityParams):
     """(words, shapes, word vectors, shape vectors) by random indexing over the sample."""
-    distinct, codes, offsets = words_of(texts)
-    lowered, shaped = pc.utf8_lower(distinct).dictionary_encode(), shapes_of(distinct).dictionary_encode()
-    words = top_values(lowered.dictionary, np.asarray(lowered.indices)[codes], p.max_words)
-    shapes = top_values(shaped.dictionary, np.asarray(shaped.indices)[codes], p.max_shapes)
+    words, shapes = vocabulary(texts, p)
     nw, ns = len(words), len(shapes)
-    word = positions_in(lowered.dictionary, words)[np.asarray(lowered.indices)][codes]
-    shape = positions_in(shaped.dictionary, shapes)[np.asarray(shaped.indices)][codes]
     index = index_vectors(nw + ns + 2, p.dims, p.nonzero, p.seed)
     index_word, index_shape = index[: nw + 1], index[nw + 1 :]
     index_word[nw] = 0  # words outside the vocabulary carry no context
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    vw, vs = index_word.copy() * 0.5, index_shape.copy() * 0.5
-    for step in range(1, p.window + 1):
-        same = row[step:] == row[:-step]
-        left, right = np.flatnonzero(same), np.flatnonzero(same) + step
-        for at, near in ((left, right), (right, left)):
-            context = index_word[word[near]] + index_shape[shape[near]]
-            for d in range(p.dims):
-                vw[:, d] += np.bincount(word[at], weights=context[:, d], minlength=nw + 1)
-                vs[:, d] += np.bincount(shape[at], weights=context[:, d], minlength=ns + 1)
+    vw, vs = index_word * 0.5, index_shape * 0.5
+    for _, part in text_slices(texts, TRAIN_SLICE):
+        distinct, codes, offsets = words_of(part)
+        if not len(codes):
+            continue
+        word, shape = positions_in(pc.utf8_lower(distinct), words)[codes], positions_in(shapes_of(distinct), shapes)[codes]
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for step in range(1, p.window + 1):
+            left = np.flatnonzero(row[step:] == row[:-step])
+            for at, near in ((left, left + step), (left + step, left)):
+                for d in range(p.dims):
+                    context = index_word[word[near], d] + index_shape[shape[near], d]
+                    vw[:, d] += np.bincount(word[at], weights=context, minlength=nw + 1)
+                    vs[:, d] += np.bincount(shape[at], weights=context, minlength=ns + 1)
     scale = lambda v: (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return words, shapes, scale(vw), scale(vs)
 
@@ -163,7 +176,7 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, p: QualityParams | N
     """Fit on sample texts; ``weight`` undoes the sampling of classes so that probabilities match the labels' shares."""
     p = p or QualityParams()
     words, shapes, vw, vs = unit_vectors(texts, p)
-    x = np.vstack([pooled(part, words, shapes, vw, vs) for _, part in text_slices(as_strings(texts))])
+    x = np.vstack([pooled(part, words, shapes, vw, vs) for _, part in text_slices(as_strings(texts), TRAIN_SLICE)])
     centre, spread = x.mean(0), x.std(0) + 1e-3
     z = (x - centre) / spread
     rng = np.random.default_rng(p.seed)
