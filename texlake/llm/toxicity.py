@@ -39,6 +39,7 @@ class ToxicityParams:
     per_class: int = 2500
     max_chars: int = 20_000
     min_stem: int = 4
+    max_stem: int = 8
     support: int = 4
     share: float = 0.03
     precision: float = 0.97
@@ -163,38 +164,46 @@ def learn_lexicon(texts: pa.Array, y: np.ndarray, p: ToxicityParams) -> list[str
         distinct, codes, offsets = words_of(part)
         core = cores(distinct).to_pylist()
         for i in range(len(part)):
-            (toxic if y[start + i] else clean).update({core[c] for c in set(codes[offsets[i] : offsets[i + 1]].tolist())})
+            (toxic if y[start + i] else clean).update({core[c] for c in set(codes[offsets[i] : offsets[i + 1]].tolist()) if core[c]})
     n_toxic, n_clean = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
 
     def passes(t: float, c: float) -> bool:
         a, b = t / n_toxic, c / n_clean
         return t >= p.support and a / max(a + b, 1e-12) >= p.precision
 
-    prefix_toxic: Counter = Counter()
-    prefix_clean: Counter = Counter()
-    kinds: dict[str, set] = defaultdict(set)
-    for word, t in toxic.items():
-        for k in range(p.min_stem, len(word)):
-            prefix_toxic[word[:k]] += t
-            kinds[word[:k]].add(word)
-    for word, c in clean.items():
-        for k in range(p.min_stem, len(word)):
-            prefix_clean[word[:k]] += c
-    stems: dict[str, int] = {}
-    for pre in sorted(prefix_toxic, key=lambda s: (len(s), s)):
-        words = kinds[pre]
-        if any(pre[:k] in stems for k in range(p.min_stem, len(pre))):
-            continue
-        total = prefix_toxic[pre]
-        if len(words) >= 3 and total >= 3 * p.support and max(toxic[w] for w in words) <= 0.5 * total and passes(total, prefix_clean[pre]):
-            if all(passes(max(toxic[w], p.support), clean[w]) for w in words):
-                stems[pre] = total
+    stems = find_stems(toxic, clean, passes, p)
     covered = lambda w: any(w[:k] in stems for k in range(p.min_stem, len(w) + 1))
     words = {w: t for w, t in toxic.items() if len(w) >= 3 and passes(t, clean[w]) and not covered(w)}
     ranked = [w for _, w in sorted([(-t, w + "*") for w, t in stems.items()] + [(-t, w) for w, t in words.items()])]
     return explaining(ranked, texts, y, p)
 
 
+def find_stems(toxic: Counter, clean: Counter, passes, p: ToxicityParams) -> dict[str, int]:
+    """Word beginnings of ``min_stem`` to ``max_stem`` characters that pass, the shortest first."""
+    words, counts = np.array(list(toxic), dtype=object), np.array(list(toxic.values()), dtype=float)
+    others, other_counts = np.array(list(clean), dtype=object), np.array(list(clean.values()), dtype=float)
+    lengths, other_lengths = np.array([len(w) for w in words], dtype=int), np.array([len(w) for w in others], dtype=int)
+    stems: dict[str, int] = {}
+    for k in range(p.min_stem, p.max_stem + 1):
+        at, other_at = np.flatnonzero(lengths > k), np.flatnonzero(other_lengths > k)
+        if not len(at):
+            break
+        prefixes, owner, kinds = np.unique(np.array([w[:k] for w in words[at]], dtype=f"U{k}"), return_inverse=True, return_counts=True)
+        total, most = np.bincount(owner, weights=counts[at]), np.zeros(len(prefixes))
+        np.maximum.at(most, owner, counts[at])
+        wanted = np.flatnonzero((kinds >= 3) & (total >= 3 * p.support) & (most <= 0.5 * total))
+        place = {prefixes[x]: 0.0 for x in wanted}
+        for w, c in zip(others[other_at], other_counts[other_at], strict=True):
+            if w[:k] in place:
+                place[w[:k]] += c
+        for x in wanted:
+            pre = str(prefixes[x])
+            if passes(total[x], place[pre]) and not any(pre[:n] in stems for n in range(p.min_stem, k)):
+                if all(passes(max(counts[at[y]], p.support), clean[words[at[y]]]) for y in np.flatnonzero(owner == x)):
+                    stems[pre] = int(total[x])
+    return stems
+
+
 def explaining(ranked: list[str], texts: pa.Array, y: np.ndarray, p: ToxicityParams) -> list[str]:
     """The entries that a share of the toxic texts has, or that explain texts which those before them don't.
 
