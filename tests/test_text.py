@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from texlake import queries, sql
 from texlake.examples import EXAMPLES
 from texlake.functions import text as tx
-from texlake.kernels import display, encoding, findings, fixing, mend, options, plain, symbols, tokens, transport, walk, write
+from texlake.kernels import adapters, display, encoding, findings, fixing, mend, options, plain, symbols, tokens, transport, walk, write
 from texlake.operators import deep
 from texlake.operators import findings as rows_of
 from texlake.plans import gates
@@ -20,7 +20,8 @@ from texlake.streaming import text_streams
 
 KERNELS = {
     "canonicalize": write.canonicalize, "fix": fixing.fix, "normalize": display.normalize, "normalize_option_text": options.normalize_option_text,
-    "escape_latex_for_json": transport.escape_latex_for_json, **{f"to_plain_{s}": (lambda t, s=s: plain.to_plain(t, s)) for s in plain.STYLES},
+    "escape_latex_for_json": transport.escape_latex_for_json, "ce_to_latex": adapters.ce_in_text, "to_markdown_source": adapters.to_markdown_source,
+    "mask_escaped_dollars": adapters.mask_escaped_dollars, **{f"to_plain_{s}": (lambda t, s=s: plain.to_plain(t, s)) for s in plain.STYLES},
 }
 ALL_INPUTS = [given for pairs in EXAMPLES.values() for given, _ in pairs]
 PIECES = [
@@ -129,6 +130,9 @@ COLUMNS = {
     "orphans": (tx.strip_orphan_delimiters, display.strip_orphans),
     "homoglyphs": (tx.normalize_homoglyphs, symbols.normalize_homoglyphs),
     "json": (tx.escape_latex_for_json, transport.escape_latex_for_json),
+    "brackets": (tx.to_bracket_delimiters, adapters.to_bracket_delimiters),
+    "markdown": (tx.to_markdown_source, adapters.to_markdown_source),
+    "dollars": (tx.mask_escaped_dollars, adapters.mask_escaped_dollars),
     **{f"plain_{s}": ((lambda c, s=s: tx.to_plain(c, s)), (lambda t, s=s: plain.to_plain(t, s))) for s in plain.STYLES},
 }
 
@@ -256,3 +260,14 @@ def test_streams(spark, tmp_path):
 def test_entry_points():
     names = entry.queries()
     assert set(queries.queries()) <= set(names) and set(entry.oracle_sql()) <= set(names)
+
+
+def test_constant_tables(spark):
+    from texlake.operators.constants import NAMES, constants
+
+    for name in ("JOINING_CHARS", "UNICODE_MATH", "HOMOGLYPHS"):
+        assert name in NAMES
+        assert constants(spark, name).count() > 5
+    assert constants(spark, "TYPOGRAPHIC_SPANS").where("key = '\\\\textmu'").first()["value"] == "$\\mu$"
+    with pytest.raises(ValueError, match="no table"):
+        constants(spark, "OTHER")

@@ -115,4 +115,20 @@ EXAMPLES: dict[str, list[tuple[str, str]]] = {
         ("â‚¬5", "€5"),
         ("One.\\nTwo \\neq three", "One.\nTwo \\neq three"),
     ],
+    "ce_to_latex": [
+        ("\\ce{H2O}", "{\\mathrm{H}_{2}\\mathrm{O}}"),
+        ("\\ce{SO4^2-}", "{\\mathrm{SO}_{4}^{2-}}"),
+        ("\\ce{2H2 + O2 -> 2H2O}", "{2\\mathrm{H}_{2} + \\mathrm{O}_{2} \\rightarrow 2\\mathrm{H}_{2}\\mathrm{O}}"),
+        ("\\ce{A ->[\\Delta] B}", "{\\mathrm{A} \\xrightarrow{\\Delta} \\mathrm{B}}"),
+        ("\\ce{Na+}", "{\\mathrm{Na}^{+}}"),
+        ("\\pu{3e8 m/s}", "{3\\times10^{8}\\ \\mathrm{m/s}}"),
+        ("\\pu{25 °C}", "{25\\ {}^{\\circ}\\mathrm{C}}"),
+        ("\\ce{?}", "\\ce{?}"),
+    ],
+    "to_markdown_source": [
+        ("7/5 * (3) and *note*", "7/5 \ue02a (3) and *note*"),
+        ("* item $x$", "* item \\(x\\)"),
+        ("about \\$5 and $$y$$", "about $5 and \\[y\\]"),
+    ],
+    "mask_escaped_dollars": [("a \\$5 $x\\$$ b", "a \ue02b5 $x\\$$ b")],
 }

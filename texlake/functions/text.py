@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..kernels import display, encoding, findings, fixing, mend, options, plain, symbols, tokens, transport, write
+from ..kernels import adapters, display, encoding, findings, fixing, mend, options, plain, symbols, tokens, transport, write
 from ..plans import gates
 from ..plans.kernels import gated, kernel
 from ..tables import FILE_EXTENSIONS, HOMOGLYPHS, KNOWN_COMMANDS, NON_CONTENT_KEYS, NON_CONTENT_SUFFIXES, URL_PREFIXES
@@ -260,6 +260,39 @@ def escape_latex_for_json(c) -> Column:
     return gated(_col(c), transport.escape_latex_for_json, gates.backslash)
 
 
+# --- forms for renderers ------------------------------------------------------------------------------------------
+
+
+def mask_escaped_dollars(c) -> Column:
+    return gated(_col(c), adapters.mask_escaped_dollars, lambda x: x.contains("\\$"))
+
+
+def to_bracket_delimiters(c) -> Column:
+    return gated(_col(c), adapters.to_bracket_delimiters, lambda x: x.contains("$"))
+
+
+def to_markdown_source(c) -> Column:
+    return gated(_col(c), adapters.to_markdown_source, lambda x: x.rlike("[$*]"))
+
+
+def ce_to_latex(c) -> Column:
+    """Chemical formulas and quantities of a math source by plain commands."""
+    return gated(_col(c), adapters.ce_in_text, lambda x: x.rlike(r"\\(?:ce|pu)"))
+
+
+def has_raw_math(c) -> Column:
+    return F.coalesce(_col(c).rlike(adapters.RAW_MATH), F.lit(False))
+
+
+def math_mask(c) -> Column:
+    """For each code point whether it lies in a math segment."""
+    return kernel(_mask, "array<boolean>")(_col(c))
+
+
+def _mask(text):
+    return None if text is None else tokens.mask(text)[:-1]
+
+
 # --- keys and values of documents -----------------------------------------------------------------------------------
 
 

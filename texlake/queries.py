@@ -64,6 +64,7 @@ TEMPLATES: dict[str, tuple[Callable[[Column], Column], str, str]] = {
     "to_plain_pdf": (lambda c: tx.to_plain(c, "pdf"), "$\\vec{F} = «q»\\hat{i}$", "F⃗ = «q»î"),
     "to_plain_tts": (lambda c: tx.to_plain(c, "tts"), "half is $\\frac{«q»}{«n»}$", "half is «q» over «n»"),
     "to_plain_compare": (tx.compare_key, "A) $\\frac{«q»}{«n»}$ × x²", "«q»/«n»*x^2"),
+    "bracket_delimiters": (tx.to_bracket_delimiters, "costs \\$«q», $x^«n»$ and $$y$$", "costs $«q», \\(x^«n»\\) and \\[y\\]"),
     "escape_json": (tx.escape_latex_for_json, '{"a": "\\frac{«q»}{2}\\n$\\nu$"}', '{"a": "\\\\frac{«q»}{2}\\n$\\\\nu$"}'),
 }
 
@@ -120,6 +121,7 @@ def _template(name: str) -> Query:
 
 _EXAMPLE_FUNCTIONS = {
     "canonicalize": tx.canonicalize, "fix": tx.fix, "normalize": tx.normalize, "normalize_option_text": tx.normalize_option_text, "escape_latex_for_json": tx.escape_latex_for_json,
+    "ce_to_latex": tx.ce_to_latex, "to_markdown_source": tx.to_markdown_source, "mask_escaped_dollars": tx.mask_escaped_dollars,
     **{f"to_plain_{s}": (lambda c, s=s: tx.to_plain(c, s)) for s in ("text", "pdf", "tts", "compare")},
 }
 
