@@ -107,9 +107,12 @@ class Cascade:
         self.estimates: dict[str, tuple[float, float]] = {}
 
     def fit(self, docs: DataFrame) -> Cascade:
-        """Order the rules by rejection per cost on at most ``sample_rows`` rows; an empty table leaves them as given."""
-        chosen = sample_key(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < 0.25
-        sample = docs.select("doc_id", "text").where(chosen).limit(self.sample_rows).persist()
+        """Order the rules by rejection per cost on about ``sample_rows`` rows, four times as many at most; an empty
+        table leaves them as given. The share of ids that are sampled falls with the number of rows, so no
+        partition sends more than its part of the sample."""
+        share = self.sample_rows / max(docs.count(), 1)
+        chosen = sample_key(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < share
+        sample = docs.select("doc_id", "text").where(chosen).limit(4 * self.sample_rows).persist()
         try:
             if not (n := sample.count()):
                 return self
