@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids (k-means) and a product quantiser of residuals (k-means in each of ``subspaces`` parts) are fitted
-on a bounded sample of ``fit_rows`` vectors. Every vector is put in the list of its nearest centroid with the codes
-of its residual. A query visits the ``probe`` nearest lists; in each it reads distances from an asymmetric table
+on a bounded sample of ``fit_rows`` vectors, and so is the number of lists that a query visits: as many as hold
+``target_recall`` of the true neighbours within the sample. Every vector is put in the list of its nearest centroid with the codes
+of its residual. A query visits the nearest lists; in each it reads distances from an asymmetric table
 (its own residual against the codebook), keeps the ``rerank`` nearest of a block, and ranks those exactly, in
 double precision, on the original vectors.
 
@@ -36,9 +37,9 @@ class AnnParams:
     fit_rows: int = 20_000
     max_lists: int = 1024
     list_rows: int = 400
-    probe_share: float = 0.6
-    max_probe: int = 64
-    min_probe: int = 16
+    target_recall: float = 0.97
+    probe_queries: int = 300
+    min_probe: int = 8
     subspaces: int = 16
     codes: int = 64
     rerank: int = 300
@@ -70,11 +71,7 @@ class AnnIndex:
     centres: np.ndarray
     books: list[np.ndarray]  # a codebook for each part of the residual
     p: AnnParams
-
-    @property
-    def probe(self) -> int:
-        """Lists that a query visits: a share of them, within fixed bounds."""
-        return min(len(self.centres), max(self.p.min_probe, min(self.p.max_probe, math.ceil(self.p.probe_share * len(self.centres)))))
+    probe: int = 1  # lists that a query visits
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([squared(part, self.centres).argmin(1) for part in np.array_split(x, max(1, len(x) // 4096))])
@@ -103,9 +100,30 @@ def fit_index(x: np.ndarray, rows: int, p: AnnParams) -> AnnIndex:
     residuals = x - centres[index.cells(x)]
     parts = np.array_split(residuals, min(p.subspaces, x.shape[1]), axis=1)
     index.books = [kmeans(part, p.codes, p.iterations, rng) for part in parts]
+    index.probe = lists_needed(x, index, rng)
     return index
 
 
+def lists_needed(x: np.ndarray, index: AnnIndex, rng) -> int:
+    """How many lists hold ``target_recall`` of the true neighbours of sample rows among the sample.
+
+    Neighbours in a whole table lie nearer than those in a sample of it, so they need no more lists.
+    """
+    p, cells = index.p, index.cells(x)
+    asked = rng.choice(len(x), min(p.probe_queries, len(x)), replace=False)
+    found = []
+    for q in asked:
+        d = squared(x[q : q + 1], x)[0]
+        d[q] = np.inf
+        near = np.argsort(d, kind="stable")[: min(p.k, len(x) - 1)]
+        place = np.empty(len(index.centres), dtype=int)
+        place[np.argsort(squared(x[q : q + 1], index.centres)[0], kind="stable")] = np.arange(len(index.centres))
+        found.append(place[cells[near]])
+    needed = np.sort(np.concatenate(found)) if found else np.zeros(0, int)
+    most = int(needed[math.ceil(p.target_recall * len(needed)) - 1]) + 1 if len(needed) else 1
+    return min(len(index.centres), max(p.min_probe, most))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal lengths."""
     if isinstance(column, pa.ChunkedArray):
