@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, bounded_sample, fold, mix64, segment_sums, text_slices, words_of
+from .common import SLICE_BYTES, as_strings, bounded_sample, fold, mix64, segment_sums, text_slices, words_of
 
 UNKNOWN = "und"
 
@@ -74,15 +74,23 @@ class LangModel:
     reject_below: float
     p: LangParams
 
+    def word_sums(self, distinct: pa.Array, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the rows of each word's subwords, and their number; some words at once, to bound memory."""
+        sums, sizes = np.zeros((len(distinct), len(self.langs)), np.float32), np.zeros(len(distinct), np.int32)
+        for at in range(0, len(distinct), step):
+            buckets, first = subwords(distinct.slice(at, step), self.p)
+            sums[at : at + step] = segment_sums(self.table[buckets], first)
+            sizes[at : at + step] = np.diff(first)
+        return sums, sizes
+
     def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(probabilities, whether the text has a letter)."""
         out, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=bool)
         texts = as_strings(texts)
-        for start, part in text_slices(texts):
+        for start, part in text_slices(texts, SLICE_BYTES // 2):
             distinct, codes, offsets = words_of(part)
-            buckets, first = subwords(distinct, self.p)
-            sums = segment_sums(self.table[buckets], first)
-            n = segment_sums(np.diff(first)[codes].astype(float), offsets)
+            sums, sizes = self.word_sums(distinct)
+            n = segment_sums(sizes[codes].astype(float), offsets)
             logit = segment_sums(sums[codes], offsets) / np.maximum(n, 1)[:, None] + self.bias
             z = logit / self.temperature
             z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -103,7 +111,7 @@ class LangModel:
 def document_features(texts: pa.Array, p: LangParams) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text: its distinct buckets and their shares of all its subwords."""
     out = []
-    for _, part in text_slices(texts):
+    for _, part in text_slices(texts, 1 << 20):
         distinct, codes, offsets = words_of(part)
         buckets, first = subwords(distinct, p)
         for i in range(len(part)):
@@ -147,7 +155,7 @@ def fit(texts: pa.Array, langs: list[str], p: LangParams | None = None) -> LangM
             bias -= rate * g
             # the shares of a document sum to 1 over thousands of buckets: the rate of a bucket grows with their number
             emb[ids] = rows - rate * np.outer(share * min(len(ids), 500), back)
-    model = LangModel(names, emb @ out, bias, 1.0, 0.0, p)
+    model = LangModel(names, (emb @ out).astype(np.float32), bias, 1.0, 0.0, p)
     judged = np.flatnonzero(aside & usable) if (aside & usable).sum() >= 20 else train
     if len(judged) and len(names) > 1:
         logit = np.stack([features[i][1] @ model.table[features[i][0]] + bias for i in judged])
