@@ -48,7 +48,7 @@ def contains_math(c) -> Column:
 
 
 def is_plain_prose(c) -> Column:
-    return F.coalesce(~_col(c).rlike("(?d)" + tokens.NOT_PLAIN), F.lit(False))
+    return F.coalesce(~_col(c).rlike("(?dU)" + tokens.NOT_PLAIN), F.lit(False))
 
 
 def math_ranges(c) -> Column:
