@@ -271,3 +271,12 @@ def test_constant_tables(spark):
     assert constants(spark, "TYPOGRAPHIC_SPANS").where("key = '\\\\textmu'").first()["value"] == "$\\mu$"
     with pytest.raises(ValueError, match="no table"):
         constants(spark, "OTHER")
+
+
+def test_gate_of_signs_holds_for_every_sign(spark):
+    from texlake.tables import HOMOGLYPHS, UNICODE_MATH
+
+    rows = spark.createDataFrame([(c,) for c in [*UNICODE_MATH, *HOMOGLYPHS, "⃗"]], "c string")
+    assert rows.where(~F.col("c").rlike(gates.MATH_SIGNS)).count() == 0
+    rows = spark.createDataFrame([("Größe naïve Привет 中文 “quoted” – dash",)], "c string")
+    assert rows.where(F.col("c").rlike(gates.MATH_SIGNS)).count() == 0
