@@ -101,10 +101,10 @@ def mix(docs: DataFrame, p: MixParams | None = None, carry: tuple = ()) -> DataF
 
 
 def training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
-    """Rows range-sorted by training position; rows that are never read come last."""
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows range-sorted by training position, in as many partitions as Spark finds fit; rows that are never read
+    come last."""
     order = [F.col(position).asc_nulls_last(), F.col("doc_id")]
-    return mixed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def apply_mix(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
