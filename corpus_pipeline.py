@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texlake.llm import mixing, near_dedup, packing, quality_classifier, toxicity
-from texlake.llm.common import read, shared_folder
+from texlake.llm.common import read, remove_folder, shared_folder
 
 #: A document goes if its probability of good quality is below KEEP_QUALITY, or its probability of toxicity is TOXIC or more.
 KEEP_QUALITY, TOXIC = 0.3, 0.5
@@ -57,10 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again.
+
+    A stage's folder goes once the next stage is written; that of the last but one stays, as the result reads it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            remove_folder(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
