@@ -41,7 +41,7 @@ class DedupParams:
     per_sketch: int = 3
     small_bucket: int = 8
     star_rounds: int = 3
-    block: int = 256
+    block: int = 1024
     seed: int = 11
 
 
@@ -155,18 +155,22 @@ def sketch(docs: DataFrame, p: DedupParams) -> DataFrame:
 
 
 def sequence_table(docs: DataFrame, reps: DataFrame, p: DedupParams) -> DataFrame:
-    """(rep, seq): the k-mer hashes of the classes in ``reps`` as bytes, so that no text is read twice."""
+    """(rep, seq): the k-mers of the classes in ``reps`` as bytes, so that no text is read twice.
+
+    32 bits of each hash are kept. Two k-mers of one text that agree in them count as one, which in a text of
+    20,000 words happens to one k-mer in some 20 texts.
+    """
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in sequences(as_strings(texts), p.k)], pa.binary())
+        return pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sequences(as_strings(texts), p.k)], pa.binary())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
     return texts.groupBy("rep").agg(F.min("text").alias("text")).select("rep", packed("text").alias("seq"))
 
 
 def unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
@@ -181,18 +185,23 @@ def verified(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
     return scored.where(F.col("similarity") >= p.similarity)
 
 
-def shared_counts(left: list[np.ndarray], seqs: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
-    """Number of equal items of each of ``left`` with each of ``seqs``, as products of 0/1 matrices, some columns at once."""
-    items, where = np.unique(np.concatenate([*left, *seqs]), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(seqs)), [len(s) for s in [*left, *seqs]])
-    out = np.zeros((len(left), len(seqs)), np.float32)
+def shared_counts(seqs: list[np.ndarray], n_left: int, columns: int = 1 << 12) -> np.ndarray:
+    """Number of equal items of each of the first ``n_left`` sequences with each sequence, as products of 0/1 matrices,
+    some columns at once; items of one sequence only have none."""
+    _, where, counts = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    often = counts > 1
+    place = np.cumsum(often) - 1
+    kept = often[where]
+    row, where = row[kept], place[where[kept]]
     order = np.argsort(where, kind="stable")
     row, where = row[order], where[order]
-    for low in range(0, len(items), columns):
+    out, total = np.zeros((n_left, len(seqs)), np.float32), int(often.sum())
+    for low in range(0, total, columns):
         a, b = np.searchsorted(where, [low, low + columns])
-        part = np.zeros((len(left) + len(seqs), min(columns, len(items) - low)), np.float32)
+        part = np.zeros((len(seqs), min(columns, total - low)), np.float32)
         part[row[a:b], where[a:b] - low] = 1
-        out += part[: len(left)] @ part[len(left) :].T
+        out += part[:n_left] @ part.T
     return out
 
 
@@ -208,7 +217,7 @@ def verified_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFr
         reps, comps = table["rep"].to_pylist(), table["component"].to_pylist()
         seqs, n_left = unpack(table["seq"]), int(sum(table["left"].to_pylist()))
         sizes = np.array([len(s) for s in seqs])
-        shared = shared_counts(seqs[:n_left], seqs)
+        shared = shared_counts(seqs, n_left)
         enough = shared >= p.similarity / (1 + p.similarity) * (sizes[:n_left, None] + sizes[None, :]) - 1e-6
         parent = {c: c for c in comps}
 
