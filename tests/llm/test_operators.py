@@ -64,7 +64,7 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out_and_misspelled(spark):
-    docs, labels = labelled(spark, lambda rng, bad: prose(rng, 30) + (" you " + rng.choice(["blockhead", "numbskull"]) + " " if bad else " ") + prose(rng, 10))
+    docs, labels = labelled(spark, lambda rng, bad: prose(rng, 30) + " you " + (rng.choice(["blockhead", "numbskull"]) + " " if bad else " ") + prose(rng, 10))
     model = toxicity.train(docs, labels)
     rows = held_out(quality_classifier.classify(docs, model, 0.5), labels, "toxic")
     assert all(p == y for _, y, p in rows)

@@ -5,9 +5,10 @@ occur in toxic texts and hardly ever in others. It is kept as a trie. A word is
 at the same time: a state of the determinised intersection is a set of (trie node, edits so far), and its
 transitions are computed when first met and then kept. So ``idiott`` or ``id1ot`` is found at one edit.
 
-Each hit is weighed by the reliability of its entry and its edits on the labelled sample. A window of words
+Each hit is weighed by the reliability of its entry at its number of edits on the labelled sample, which starts
+from less the more edits there are for the entry's length. A window of words
 around it tells abuse from quotation: quotation marks and words of reporting lower the weight, address of a
-person raises it. The document's features are the sum, the maximum and the rate of these weights, and a
+person raises it. The document's features are the logarithm of the sum, the maximum and the rate of these weights, and a
 logistic model, fitted on the sample, makes them a probability.
 
 Whole texts are read. A null or empty text has no hit. Without labels of both classes the score is the share
@@ -265,8 +266,8 @@ class ToxicityModel:
     def features(self, texts: pa.Array) -> np.ndarray:
         out = []
         for n, hits in self.hits(texts):
-            w = [self.weights.get((entry, edits), self.weights.get((-1, edits), 0.0)) * f for _, _, entry, edits, f in hits]
-            out.append((min(sum(w), 5.0), max(w, default=0.0), min(1.0, 100 * sum(w) / (n + 100)), 1.0))
+            w = [self.weights[entry, edits] * f for _, _, entry, edits, f in hits]
+            out.append((np.log1p(min(sum(w), 5.0)), max(w, default=0.0), min(1.0, 100 * sum(w) / (n + 100)), 1.0))
         return np.array(out).reshape(-1, 4)
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -292,18 +293,33 @@ def context(word: str, near: list[tuple[int, str]]) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; the weights of hits stay at 0 or above."""
+    """Weighted ridge logistic regression by Newton steps, each halved until the loss falls; the weights of hits stay
+    at 0 or above."""
     beta = np.zeros(x.shape[1])
-    for _ in range(40):
-        prob = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        pull = np.full(len(beta), ridge)
-        pull[-1] = 1e-6
+    pull = np.full(len(beta), ridge)
+    pull[-1] = 0.1 * ridge
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * pull @ (b * b))
+
+    now = loss(beta)
+    for _ in range(100):
+        prob = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
         grad = x.T @ (weight * (prob - y)) + pull * beta
-        hess = (x * (weight * prob * (1 - prob))[:, None]).T @ x + np.diag(pull + 1e-9)
-        move = np.linalg.solve(hess, grad)
-        beta = beta - np.clip(move, -3, 3)
-        beta[:-1] = np.maximum(beta[:-1], 0)
-        if np.abs(move).max() < 1e-6:
+        hess = (x * (weight * prob * (1 - prob))[:, None]).T @ x + np.diag(pull)
+        move, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6:
+            tried = beta - size * move
+            tried[:-1] = np.maximum(tried[:-1], 0)
+            if (then := loss(tried)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done = now - then < 1e-9 * max(1.0, now)
+        beta, now = tried, then
+        if done:
             break
     return beta
 
@@ -315,17 +331,16 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, p: ToxicityParams |
     every: Counter = Counter()
     for row, (_, hits) in enumerate(model.hits(texts)):
         exact = any(h[3] == 0 for h in hits)
-        for key in {(h[2], h[3]) for h in hits} | {(-1, h[3]) for h in hits}:
+        for key in {(h[2], h[3]) for h in hits}:
             if key[1] and exact:  # then the exact hit explains the label
                 continue
             every[key] += weight[row]
             toxic[key] += weight[row] * y[row]
-    for edits in (0, 1, 2):
-        prior = (toxic[-1, edits] + (0.9, 0.6, 0.3)[edits]) / (every[-1, edits] + 1)
-        model.weights[-1, edits] = float(prior)
-        for k in range(len(model.lexicon.entries)):
+    for k, entry in enumerate(model.lexicon.entries):
+        for edits in (0, 1, 2):
+            prior = max(0.2, 0.95 - 1.5 * edits / len(entry))
             model.weights[k, edits] = float((toxic[k, edits] + 4 * prior) / (every[k, edits] + 4))
-    model.beta = logistic(model.features(texts), y, weight, ridge=0.02 * len(y) ** 0.5)
+    model.beta = logistic(model.features(texts), y, weight, ridge=0.0004 * len(y) ** 0.5)
     return model
 
 
