@@ -70,19 +70,15 @@ def rewrite_array(values: pa.Array, f: Callable, key: str, narrative: tuple, eve
 def _rewrite_map(values: pa.Array, f: Callable, narrative: tuple, every: bool) -> pa.Array:
     """Keys are data here, so each distinct key decides about its values."""
     rows = values.to_pylist()
-    whole = repair_value if every else None
 
     def item(key, value, keys):
-        if whole or walk.is_narrative_key(key, keys, narrative):
+        if every or walk.is_narrative_key(key, keys, narrative):
             return walk.repair_deep(value)
         return walk.rewrite(value, f, key, narrative)
 
     return pa.array([None if r is None else [(k, item(k, v, [x[0] for x in r])) for k, v in r] for r in rows], values.type)
 
 
-repair_value = walk.repair_deep
-
-
 def _rewrite_columns(df: DataFrame, f: Callable, gate, cols, narrative: tuple, every: bool = False) -> DataFrame:
     names = list(cols or df.columns)
     unknown = [n for n in names if n not in df.columns]
@@ -95,11 +91,10 @@ def _rewrite_columns(df: DataFrame, f: Callable, gate, cols, narrative: tuple, e
             continue
         c, apply = F.col(f"`{field.name}`"), repair if spoken else f
         if isinstance(field.dataType, T.StringType):
-            if spoken:
+            if spoken or every:
                 out[field.name] = tx.repair(c)
             else:
-                out[field.name] = c if every else F.when(tx.is_url_or_path(c), c).otherwise(gate(F.when(~tx.is_url_or_path(c), c)))
-                out[field.name] = gate(c) if every else out[field.name]
+                out[field.name] = F.coalesce(gate(F.when(~tx.is_url_or_path(c), c)), c)
             continue
         run = partial(_run, f=apply, key=field.name, narrative=narrative, every=every or spoken)
         out[field.name] = _nested(run, field.dataType)(c)

@@ -7,7 +7,6 @@ expressions without unbounded alternation groups, which Java would match by recu
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..tables import BEHIND_JSON_ESCAPES, HOMOGLYPHS, MOJIBAKE, SCRIPT_LABELS, UNICODE_MATH
 
