@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker: bounds the worker's memory whatever the Arrow batch holds.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: The words of a text are runs of anything but these characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 

@@ -87,7 +87,7 @@ class LangModel:
         """(probabilities, whether the text has a letter)."""
         out, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=bool)
         texts = as_strings(texts)
-        for start, part in text_slices(texts, SLICE_BYTES // 2):
+        for start, part in text_slices(texts, SLICE_BYTES):
             distinct, codes, offsets = words_of(part)
             sums, sizes = self.word_sums(distinct)
             n = segment_sums(sizes[codes].astype(float), offsets)

@@ -296,7 +296,7 @@ def pack(docs: DataFrame, tokenizer_path: str, p: PackParams | None = None) -> D
         packer = Packer(p, TaskContext.get().partitionId() << 36)
         block, tokens = [], 0
         for batch in batches:
-            for at, part in text_slices(as_strings(batch.column(1)), SLICE_BYTES // 2):
+            for at, part in text_slices(as_strings(batch.column(1)), SLICE_BYTES):
                 ids, offsets = tokenizer.encode(part)
                 names = batch.column(0).slice(at, len(part)).to_pylist()
                 ids, small = ids.astype(np.uint32), len(names)
