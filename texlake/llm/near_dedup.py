@@ -41,7 +41,7 @@ class DedupParams:
     per_sketch: int = 3
     small_bucket: int = 8
     star_rounds: int = 3
-    block: int = 1024
+    block: int = 512
     seed: int = 11
 
 
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
     return scored.where(F.col("similarity") >= p.similarity)
 
 
-def shared_counts(seqs: list[np.ndarray], n_left: int, columns: int = 1 << 12) -> np.ndarray:
+def shared_counts(seqs: list[np.ndarray], n_left: int, columns: int = 1 << 11) -> np.ndarray:
     """Number of equal items of each of the first ``n_left`` sequences with each sequence, as products of 0/1 matrices,
     some columns at once; items of one sequence only have none."""
     _, where, counts = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
@@ -219,18 +219,16 @@ def verified_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFr
         sizes = np.array([len(s) for s in seqs])
         shared = shared_counts(seqs, n_left)
         enough = shared >= p.similarity / (1 + p.similarity) * (sizes[:n_left, None] + sizes[None, :]) - 1e-6
-        parent = {c: c for c in comps}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
+        label = np.unique(np.array(comps), return_inverse=True)[1]
         out = []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
-            if j > i and root(comps[i]) != root(comps[j]) and (s := aligned_similarity(seqs[i], seqs[j], p.similarity)) >= p.similarity:
-                parent[root(comps[i])] = root(comps[j])
-                out.append((min(reps[i], reps[j]), max(reps[i], reps[j]), s))
+        for i in range(n_left):
+            todo = enough[i] & (np.arange(len(seqs)) > i)
+            while len(open_ := np.flatnonzero(todo & (label != label[i]))):
+                j = open_[0]
+                todo[j] = False
+                if (s := aligned_similarity(seqs[i], seqs[j], p.similarity)) >= p.similarity:
+                    label[label == label[j]] = label[i]
+                    out.append((min(reps[i], reps[j]), max(reps[i], reps[j]), s))
         a, b, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
