@@ -72,6 +72,25 @@ def test_toxicity_held_out_and_misspelled(spark):
     assert plain > quoted and wrong > 0.5 > clean
 
 
+def test_one_clear_term_decides_at_any_length():
+    rng = random.Random(21)
+    terms = ["blockhead", "numbskull", "dunderpate", "lackwit", "nincompoop"]
+
+    def abusive(n, k):  # toxic texts of the sample hold three terms each
+        words = prose(rng, n).split()
+        for term in rng.sample(terms, k):
+            words.insert(rng.randrange(len(words)), term)
+        return " ".join(words)
+
+    y = np.array([i % 4 == 0 for i in range(600)], float)
+    texts = pa.array([abusive(rng.randrange(20, 300), 3 * int(v)) for v in y])
+    model = toxicity.fit(texts, y, np.ones(600))
+    for n in (5, 300, 40_000):
+        single, clean = [abusive(n, 1) for _ in range(5)], [prose(rng, n) for _ in range(5)]
+        assert (model.score(pa.array(single)) > 0.5).all() and (model.score(pa.array(clean)) < 0.5).all()
+    assert (model.score(pa.array([prose(rng, 300) + ' he said "blockhead" once ' + prose(rng, 300)])) < 0.5).all()
+
+
 def test_levenshtein_automaton_against_brute_force():
     def distance(a, b):
         row = list(range(len(b) + 1))

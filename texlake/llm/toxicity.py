@@ -8,8 +8,10 @@ transitions are computed when first met and then kept. So ``idiott`` or ``id1ot`
 Each hit is weighed by the reliability of its entry at its number of edits on the labelled sample, which starts
 from less the more edits there are for the entry's length. A window of words
 around it tells abuse from quotation: quotation marks and words of reporting lower the weight, address of a
-person raises it. The document's features are the logarithm of the sum, the maximum and the rate of these weights, and a
-logistic model, fitted on the sample, makes them a probability.
+person raises it. The document's features are the maximum of these weights and the logarithm of what other hits add in
+the best run of ``span`` words, so a document's length has no part in them; a logistic model, fitted on the sample,
+makes them a probability. A weight is itself a probability: an exact hit of an entry that is ``precision`` reliable or more
+gives the document its weight at least, so one such hit decides at any length; a quoted or reported one does not.
 
 Whole texts are read. A null or empty text has no hit. Without labels of both classes the score is the share
 of label 1 (0 without labels).
@@ -46,6 +48,7 @@ class ToxicityParams:
     precision: float = 0.97
     max_entries: int = 2000
     window: int = 5
+    span: int = 300
     one_edit_from: int = 5
     two_edits_from: int = 9
     max_states: int = 200_000
@@ -263,17 +266,34 @@ class ToxicityModel:
             for row in range(len(part)):
                 yield int(offsets[row + 1] - offsets[row]), per_row.get(row, [])
 
+    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(features, the largest weight of an exact hit that decides alone, at most 1) of each text."""
+        out, clear = [], []
+        for _, hits in self.hits(texts):
+            w = np.array([self.weights[entry, edits] * f for _, _, entry, edits, f in hits])
+            out.append((w.max(initial=0.0), np.log1p(min(best_run([h[0] for h in hits], w, self.p.span), 5.0)), 1.0))
+            sure = [x for x, (_, _, entry, edits, _) in zip(w, hits, strict=True) if edits == 0 and self.weights[entry, 0] >= self.p.precision]
+            clear.append(min(max(sure, default=0.0), 1.0))
+        return np.array(out).reshape(-1, 3), np.array(clear)
+
     def features(self, texts: pa.Array) -> np.ndarray:
-        out = []
-        for n, hits in self.hits(texts):
-            w = [self.weights[entry, edits] * f for _, _, entry, edits, f in hits]
-            out.append((np.log1p(min(sum(w), 5.0)), max(w, default=0.0), min(1.0, 100 * sum(w) / (n + 100)), 1.0))
-        return np.array(out).reshape(-1, 4)
+        return self.evidence(texts)[0]
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.beta, -40, 40)))
+        x, clear = self.evidence(texts)
+        return np.maximum(1 / (1 + np.exp(-np.clip(x @ self.beta, -40, 40))), clear)
+
+
+def best_run(at: list[int], w: np.ndarray, span: int) -> float:
+    """The largest sum of the weights ``w`` at rising positions ``at`` within ``span`` words, without its largest weight."""
+    at, best = np.array(at, dtype=np.int64), 0.0
+    ends = np.searchsorted(at, at + span)
+    for i in np.flatnonzero(ends - np.arange(len(at)) > 1):
+        part = w[i : ends[i]]
+        best = max(best, float(part.sum() - part.max()))
+    return best
 
 
 def context(word: str, near: list[tuple[int, str]]) -> float:
@@ -326,7 +346,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
 
 def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, p: ToxicityParams | None = None) -> ToxicityModel:
     p = p or ToxicityParams()
-    model = ToxicityModel(Lexicon(learn_lexicon(texts, y, p), p), {}, np.zeros(4), p)
+    model = ToxicityModel(Lexicon(learn_lexicon(texts, y, p), p), {}, np.zeros(3), p)
     toxic: Counter = Counter()
     every: Counter = Counter()
     for row, (_, hits) in enumerate(model.hits(texts)):
@@ -349,5 +369,5 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None) -
     texts, y, weight, counts = labelled_sample(docs, labels, "toxic", 5, p.per_class, p.max_chars)
     if len(set(y)) < 2:
         share = counts.get(1, 0) / max(sum(counts.values()), 1)
-        return ToxicityModel(Lexicon([], p), {}, np.zeros(4), p, constant=share)
+        return ToxicityModel(Lexicon([], p), {}, np.zeros(3), p, constant=share)
     return fit(texts, y, weight, p)
