@@ -114,6 +114,19 @@ def test_levenshtein_automaton_against_brute_force():
         assert got == (lexicon.entries.index("lowe*"), 0) if stem else got == ((min(fits)[1], min(fits)[0]) if fits else None)
 
 
+def test_misspelled_forms_of_stems_and_short_terms():
+    rng = random.Random(22)
+    terms = ["idiot", "idiots", "idiotic", "idiocy", "idiotism", "scum"]
+    y = np.array([i % 2 == 0 for i in range(400)], float)
+    texts = pa.array([prose(rng, 30) + (f" {terms[i // 2 % 6]} " if v else " ") + prose(rng, 10) for i, v in enumerate(y)])
+    lexicon = toxicity.Lexicon(toxicity.learn_lexicon(texts, y, toxicity.ToxicityParams()), toxicity.ToxicityParams())
+    stem = next(e for e in lexicon.entries if e.endswith("*"))
+    assert "idiocy".startswith(stem[:-1]) and lexicon.find("idiotes") == (lexicon.entries.index(stem), 0)
+    for word, entry in (("id1ot", "idiot"), ("ldiot", "idiot"), ("id1ots", "idiots"), ("1diotic", "idiotic"), ("sc0m", "scum"), ("s*um", "scum"), ("scu1m", "scum")):
+        assert lexicon.find(word) == (lexicon.entries.index(entry), 1), word
+    assert lexicon.find("slum") is None and lexicon.find("sum") is None and lexicon.find("x1") is None
+
+
 def test_language_held_out(spark):
     rng = random.Random(1)
     alphabets = {"aa": "abcdefg", "bb": "hijklmn", "cc": "äöüßéèà"}

@@ -3,7 +3,9 @@
 The lexicon is learned from labelled rows: words, and word beginnings (stems, written with a final ``*``) that
 occur in toxic texts and hardly ever in others. It is kept as a trie. A word is read once against all entries
 at the same time: a state of the determinised intersection is a set of (trie node, edits so far), and its
-transitions are computed when first met and then kept. So ``idiott`` or ``id1ot`` is found at one edit.
+transitions are computed when first met and then kept. So ``idiott`` or ``id1ot`` is found at one edit. Stems match exactly;
+the words that they cover are entries beside them and found at their own edits. Entries too short for an edit are found at
+one if the word holds a sign that is no letter (``sc0m``): other letters would often make another word.
 
 Each hit is weighed by the reliability of its entry at its number of edits on the labelled sample, which starts
 from less the more edits there are for the entry's length. A window of words
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +68,7 @@ class Lexicon:
         for k, entry in enumerate(self.entries):
             stem = entry.endswith("*")
             word = entry[:-1] if stem else entry
-            edits = 0 if stem else self.allowed(word)
+            edits = 0 if stem else max(self.allowed(word), 1)
             node = 0
             self.budget[0] = max(self.budget[0], edits)
             for ch in word:
@@ -146,11 +149,16 @@ class Lexicon:
         found = None
         for node, e in self.sets[at]:
             k = self.final[node]
-            if k >= 0 and not self.entries[k].endswith("*") and e <= self.allowed(self.entries[k]):
+            if k >= 0 and not self.entries[k].endswith("*") and (e <= self.allowed(self.entries[k]) or e == 1 and disguised(word)):
                 found = min(found or (e, k), (e, k))
         return (found[1], found[0]) if found else None
 
 
+def disguised(word: str) -> bool:
+    """Whether a sign that is neither a letter nor a mark of one stands in the word."""
+    return any(not ch.isalpha() and category(ch)[0] != "M" for ch in word)
+
+
 def cores(distinct: pa.Array) -> pa.Array:
     """Lower-cased words without the signs around them."""
     return pc.replace_substring_regex(pc.utf8_lower(distinct), pattern=EDGE, replacement="")
@@ -179,7 +187,10 @@ def learn_lexicon(texts: pa.Array, y: np.ndarray, p: ToxicityParams) -> list[str
     covered = lambda w: any(w[:k] in stems for k in range(p.min_stem, len(w) + 1))
     words = {w: t for w, t in toxic.items() if len(w) >= 3 and passes(t, clean[w]) and not covered(w)}
     ranked = [w for _, w in sorted([(-t, w + "*") for w, t in stems.items()] + [(-t, w) for w, t in words.items()])]
-    return explaining(ranked, texts, y, p)
+    kept = explaining(ranked, texts, y, p)
+    beside = {e[:-1] for e in kept if e.endswith("*")}
+    bare = [w for w in toxic if len(w) >= p.one_edit_from and passes(max(toxic[w], p.support), clean[w]) and any(w[:k] in beside for k in range(p.min_stem, len(w) + 1))]
+    return (kept + sorted(bare, key=lambda w: (-toxic[w], w)))[: p.max_entries]
 
 
 def find_stems(toxic: Counter, clean: Counter, passes, p: ToxicityParams) -> dict[str, int]:
