@@ -248,6 +248,22 @@ def test_urls_rules_and_aliases(spark):
     assert url_filters.judge(pages).count() == len(rows) and url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_relative_targets_and_entities(spark):
+    link, meta = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    forms = {
+        "http://a.com/p/x": (link, "/de/1"), "http://b.com/p/x": (meta, "/de/2"), "http://c.com/p/x": (link, "../de/3?a=1&amp;b=2"), "http://d.net/p": (link, "//d.com/de/4"),
+        "http://e.net/p": (meta, "https://e.com/de/5?a=1&amp;b=2"), "http://f.net/p": (link, "//e.com/de/5?a=1&#38;b=2"), "http://g.net/p": (link, "http://g.com/de/6?a=1&copy=2"),
+    }
+    rows = [(k, url, form.format(target)) for k, (url, (form, target)) in enumerate(forms.items())]
+    free = [(50, "http://h.net/p", link.format("/r?u=http://x.com/de/1")), (51, "http://i.net/p", link.format("mailto:x@a.com")), (52, "nothing", link.format("/de/1"))]
+    # blocked only through a node that the decoded target must equal: the page at it has no rule, its own target has
+    chain = [(60, "http://k.net/q?a=1&b=2", link.format("http://k.com/de/7")), (61, "http://l.net/q", link.format("//K.net/q?a=1&amp;b=2")), (62, "http://k.net/z", meta.format("q?a=1&amp;b=2"))]
+    out = {r["page_id"]: r["verdict"] for r in url_filters.judge(spark.createDataFrame(rows + free + chain, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == "block" for k in range(len(rows))), out
+    assert {out[k] for k in (50, 51, 52)} == {"allow"} and {out[k] for k in (60, 61, 62)} == {"block"}
+    assert url_filters.resolve("https://a.com/x", "/y?a=1&copy=2&amp;b") == "http://a.com/y?a=1&copy=2&b"
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(7, 7), (None, 3)] + [(500 + k, 501 + k) for k in range(60)] + [(900, 901 + k) for k in range(50)]

@@ -1,7 +1,8 @@
 """URL filters with redirect equivalence.
 
 Urls are nodes; a redirect (meta refresh) or a canonical link of a page is an edge from the page's url to its
-target, and further edges may be given as a table. Connected components of this graph are sets of aliases. A
+target, and further edges may be given as a table. Entities in a target are decoded, and a target without a scheme is
+resolved against the page's url (a ``<base>`` element is not read); other schemes than those with ``//`` name no page. Connected components of this graph are sets of aliases. A
 url that a rule fits has that rule's verdict (explicit rules, allow included, take precedence over anything
 propagated). Any other url is blocked if an alias of it is blocked by a rule and no alias is explicitly allowed; otherwise
 it is allowed.
@@ -16,8 +17,13 @@ distributed tables. Only nodes with an edge enter the components, so the hosts'
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from html import unescape
+from html.entities import html5
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +71,36 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+#: A character reference, as attributes read them: a name without ``;`` does not count before ``=``, a letter or a digit.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*+(?:;|(?!=))))")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def resolve(base: str, target: str) -> str | None:
+    """The absolute url of a link's target as the page at ``base`` writes it; None if it names no page."""
+    target = REFERENCE.sub(lambda m: unescape(m[0]) if m[1] is None or m[1] in html5 else m[0], target).strip(" \t\r\n\f\"'")
+    if scheme := SCHEME.match(target):
+        return target if target.startswith("//", scheme.end()) else None
+    try:  # the scheme tells no nodes apart, and http is one that relative targets are defined for
+        return urljoin("http://" + base.partition("://")[2], target) if "://" in base else None
+    except ValueError:
+        return None
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """(src, dst): urls of pages and the absolute targets of their canonical links and meta refreshes."""
+    """(src, dst): urls of pages and the absolute urls of their canonical links and meta refreshes."""
+
+    @F.arrow_udf("string")
+    def resolved(base: pa.Array, target: pa.Array) -> pa.Array:
+        return pa.array([resolve(b, t) if b and t else None for b, t in zip(base.to_pylist(), target.to_pylist(), strict=True)], pa.string())
+
     tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<(?:link|meta)\s[^>]*+>"), F.lit(0))
     tag = F.col("tag")
     canonical = F.when(tag.rlike(r"(?is)^<link\s.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]++)", 1))
-    refresh = F.when(tag.rlike(r"(?is)^<meta\s.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]++)", 1))
+    refresh = F.when(tag.rlike(r"(?is)^<meta\s.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]++)", 1))
     found = pages.where("url is not null").select("url", F.explode(tags).alias("tag"))
-    return found.select(F.col("url").alias("src"), F.coalesce(canonical, refresh).alias("dst")).where("dst like '%://%'")
+    targets = found.select(F.col("url").alias("src"), F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
+    return targets.select("src", resolved("src", "target").alias("dst")).where("dst is not null")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None = None) -> DataFrame:
