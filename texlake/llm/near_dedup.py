@@ -238,8 +238,12 @@ def verified_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFr
 
 def near_duplicates(docs: DataFrame, p: DedupParams | None = None) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of the connected near duplicates), kept (whether it is
-    that doc_id), n_links (verified links of its text to other texts), exact_id (smallest doc_id of the equal
-    k-mer sequences).
+    that doc_id), n_links (links of its text to other texts among the pairs that were verified), exact_id (smallest
+    doc_id of the equal k-mer sequences).
+
+    n_links is no count of near duplicates: a bucket of up to ``small_bucket`` classes verifies all its pairs, a larger
+    one only those of its stars and those that join components, so texts of large groups have fewer links than near
+    duplicates. It is 0 only for a text that is linked to no other.
 
     Documents without words are classes of their own. Rows that repeat a doc_id are one document: links are
     verified on the smallest of its texts. A null doc_id is kept, unlinked, with null ids. An empty table gives
