@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,54 @@ def test_long_and_deep_texts():
             f(text)
 
 
+def slow_closer(text, start, closer):
+    depth, at = 0, start
+    while at < len(text):
+        if depth <= 0 and text.startswith(closer, at):
+            return at
+        depth += (text[at] == "{") - (text[at] == "}")
+        at += 2 if text[at] == "\\" else 1
+    return -1
+
+
+def test_closers_against_a_scan_for_each_opener():
+    closers = {"\\[": "\\]", "\\(": "\\)", "$": "$", "$$": "$$"}
+    for text in [*ALL_INPUTS, *fuzz(31, 3000)]:
+        at, signs = tokens.signs_of(text)
+        for i, sign, k in zip(at, signs, tokens.partners(text, at, signs), strict=True):
+            opener = "$$" if text.startswith("$$", i) and sign == "$" else sign
+            if opener in closers:
+                assert (at[k] if k >= 0 else -1) == slow_closer(text, i + len(opener), closers[opener]), (text, i)
+
+
+def test_time_grows_with_length():
+    def seconds(f, text):
+        tokens.spans.cache_clear()
+        began = time.perf_counter()
+        f(text)
+        return time.perf_counter() - began
+
+    for unit in ("$a{", "\\(x ", "$$y{", "see https://a.example/b and ", "\\frac{1}{2} $x$ "):
+        for f in (fixing.fix, write.canonicalize, findings.audit):
+            long = seconds(f, unit * (40_000 // len(unit)))
+            assert long < 2 and long < 40 * max(seconds(f, unit * (4_000 // len(unit))), 0.005), (unit, f.__name__, long)
+
+
+def test_many_urls_come_back():
+    text = " ".join(f"https://a.example/{k}/x_1 and {{{{IMAGE:{k}}}}}" for k in range(9000))
+    assert write.canonicalize(text) == text
+
+
+def test_signs_as_handlers():
+    assert write.collapse_backslashes("\\\\alpha \\\\zzz $a \\\\beta & b$") == "\\alpha \\\\zzz $a \\\\beta & b$"
+    assert write.dollar_delimiters("\\(a\\) \\[b\\] \\(\\) \\\\(c") == "$a$ $$b$$ \\(\\) \\\\(c"
+    assert write.close_braces("$\\frac{1}{2$ and $\\frac{$ and $x$") == "$\\frac{1}{2}$ and $\\frac{$ and $x$"
+    assert write.open_surplus_braces("$x}$ $a}{b$ $$c}}$$") == "${x}$ $a}{b$ $${{c}}$$"
+    assert write.brace_scripts("$x^10$ y^10 $$a_12 + id_1_22$$ $z^34") == "$x^{10}$ y^10 $$a_{12} + id_1_22$$ $z^34"
+    assert write.escape_lone_currency("$5, $x and $7,000.50.") == "\\$5, $x and \\$7,000.50."
+    assert write.put_dollars_aside("\\$ \\\\$") == write.DOLLAR + " \\\\$"
+
+
 def test_greek_words():
     clusters = symbols.Clusters("area 2πr and αβγ")
     assert clusters.word(6) == (5, 8) and clusters.word(14) is None

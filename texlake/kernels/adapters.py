@@ -5,29 +5,28 @@ from __future__ import annotations
 import re
 
 from .arguments import group_end
-from .tokens import closer_at, segment
+from .tokens import partners, segment, signs_of
 
 ESCAPED_DOLLAR = ""
 OPERATOR_STAR = ""
 #: Math that a renderer left as source: a span with a command, or an opener.
 RAW_MATH = r"\$[^$\n]*\\[a-zA-Z]+[^$\n]*\$|\\\(|\\\["
-_PAIRS = (("$$", "$$"), ("\\[", "\\]"), ("$", "$"), ("\\(", "\\)"))
 
 
 def mask_escaped_dollars(text: str) -> str:
     """Every escaped dollar of the prose under a private sign; math stays, and all behind an unclosed opener."""
-    out, at = [], 0
-    while at < len(text):
-        pair = next((p for p in _PAIRS if text.startswith(p[0], at)), None)
-        if pair:
-            close = closer_at(text, at + len(pair[0]), pair[1])
-            end = len(text) if close < 0 else close + len(pair[1])
-        else:
-            end = at + (2 if text[at] == "\\" else 1)
-        piece = text[at:end]
-        out.append(ESCAPED_DOLLAR if piece == "\\$" else piece)
-        at = end
-    return "".join(out)
+    at, signs = signs_of(text)
+    closing, out, begun, k = partners(text, at, signs), [], 0, 0
+    while k < len(at):
+        if signs[k] == "\\$":
+            out += [text[begun : at[k]], ESCAPED_DOLLAR]
+            begun = at[k] + 2
+        elif signs[k] in ("$", "\\[", "\\("):
+            if closing[k] < 0:
+                break
+            k = closing[k] + text.startswith("$$", at[k])
+        k += 1
+    return "".join([*out, text[begun:]])
 
 
 def _brackets(text: str) -> list[tuple[str, bool]]:
@@ -63,11 +62,11 @@ def to_markdown_source(text: str) -> str:
 #: Reaction arrows, plain and with a label.
 ARROWS = {"<=>": ("\\rightleftharpoons", "\\xrightleftharpoons"), "<->": ("\\leftrightarrow", "\\xleftrightarrow"), "->": ("\\rightarrow", "\\xrightarrow"), "<-": ("\\leftarrow", "\\xleftarrow")}
 _OPEN = re.compile(r"(?<!\\)\\(ce|pu)(?![A-Za-z])\s*\{")
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"(?P<blank>\s)|(?P<arrow><=>|<->|->|<-)|(?P<sign>[+-])|(?P<script>[\^_])|(?P<letters>[A-Za-z]+)|(?P<number>[0-9]+)"
     r"|(?P<open>[(\[])|(?P<close>[)\]])|(?P<dot>[*·•])|(?P<double>=)|(?P<triple>\#)|(?P<command>\\[A-Za-z]+)"
 )
-_SCRIPT = re.compile(r"[0-9]+[+-]?|[+-]|[A-Za-z]")
+SCRIPT = re.compile(r"[0-9]+[+-]?|[+-]|[A-Za-z]")
 _COEFFICIENT = re.compile(r"[0-9./]+")
 
 
@@ -98,7 +97,7 @@ def ce_to_latex(body: str) -> str | None:
     simple = {"open": False, "close": True}
     fixed = {"blank": " ", "dot": " \\cdot ", "double": "=", "triple": "\\equiv "}
     while at < len(body):
-        m = _TOKEN.match(body, at)
+        m = TOKEN.match(body, at)
         if not m:
             return None
         kind, sign, at = m.lastgroup, m[0], m.end()
@@ -124,7 +123,7 @@ def ce_to_latex(body: str) -> str | None:
                 formula.put("-" if sign == "-" and formula.base else f" {sign} ")
         elif kind == "script":
             found = group_end(body, at) if body[at : at + 1] == "{" else -1
-            plain = _SCRIPT.match(body, at)
+            plain = SCRIPT.match(body, at)
             if found < 0 and not plain:
                 return None
             content, at = (body[at + 1 : found - 1], found) if found >= 0 else (plain[0], plain.end())

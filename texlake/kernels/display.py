@@ -8,17 +8,15 @@ from ..tables import CURRENCY_SYMBOLS, KNOWN_COMMANDS, PROSE_COMMANDS, STOP_WORD
 from .arguments import lacks_argument
 from .encoding import fix_mojibake
 from .mend import repair
-from .tokens import backslashes_before, escaped, map_text, mask
+from .tokens import backslashes_before, between, escaped, map_text, mask
 
-_DISPLAY = re.compile(r"(?<!\\)\\\[([\s\S]*?)(?<!\\)\\\]")
-_INLINE = re.compile(r"(?<!\\)\\\(([\s\S]*?)(?<!\\)\\\)")
 _ORPHAN = re.compile(r"(?<!\\)\\[()\[\]]")
 _NAME = re.compile(r"\\[A-Za-z]+")
 
 
 def normalize_delimiters(text: str) -> str:
-    text = _DISPLAY.sub(lambda m: f"$${m[1]}$$", text)
-    return _INLINE.sub(lambda m: "$" + re.sub(r"[ \t]*\n\s*", " ", m[1]).strip() + "$", text)
+    text = between(text, "\\[", "\\]", lambda body: f"$${body}$$")
+    return between(text, "\\(", "\\)", lambda body: "$" + re.sub(r"[ \t]*\n\s*", " ", body).strip() + "$")
 
 
 def strip_orphans(text: str) -> str:

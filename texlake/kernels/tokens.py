@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
-_STOP = re.compile(r"[$\\]")
-_WALK = re.compile(r"[\\{}$]")
 _COMMAND = re.compile(r"\\[A-Za-z]")
 NOT_PLAIN = r"[\\$*~`|\[\]<>#\r⸻【]|\n\n|--|(?:^|\n)[ \t]+\S|(?:^|\n)(?:[-*+] |\d+[.)] )|\([xX ]\) "
 _NOT_PLAIN = re.compile(NOT_PLAIN)
@@ -36,67 +36,104 @@ def escaped(text: str, i: int) -> bool:
     return backslashes_before(text, i) % 2 == 1
 
 
-def closer_at(text: str, start: int, closer: str) -> int:
-    """Where ``closer`` stands outside braces, from ``start`` on; a backslash hides the next character; -1 if nowhere."""
-    depth, at = 0, start
-    while (m := _WALK.search(text, at)) is not None:
-        at = m.start()
-        if depth <= 0 and text.startswith(closer, at):
-            return at
-        ch = text[at]
-        depth += (ch == "{") - (ch == "}")
-        at += 2 if ch == "\\" else 1
-    return -1
-
-
-def _math_from(text: str, i: int) -> tuple[int, int, int, bool] | None:
-    """(first, last, end, display) of the span that opens at ``i``: content, then the place behind its closer."""
-    pair = text[i : i + 2]
-    if pair in ("\\[", "\\("):
-        close = closer_at(text, i + 2, "\\]" if pair == "\\[" else "\\)")
-        return None if close < 0 else (i + 2, close, close + 2, pair == "\\[")
-    if pair == "$$":
-        close = closer_at(text, i + 2, "$$")
-        return None if close <= i + 2 else (i + 2, close, close + 2, True)
-    if pair[:1] != "$" or len(pair) < 2 or pair[1].isspace():
-        return None
-    close = closer_at(text, i + 1, "$")
-    if close <= i + 1 or text[close - 1].isspace() or text[close + 1 : close + 2].isdigit() or "\n" in text[i:close]:
+#: What the tokenizer reads: a backslash hides the character behind it, braces nest, dollars may open or close.
+SIGN = re.compile(r"\\.?|[{}$]", re.S)
+_CLOSERS = {"\\[": "\\]", "\\(": "\\)", "$": "$", "$$": "$$"}
+
+
+class _Open:
+    """Closers of one kind that stand further on, seen from right to left: of those no shallower than a nearer one,
+    none is ever the next, so what stays is sorted by depth and the next at a depth or above is found by halving."""
+
+    def __init__(self):
+        self.depths: list[int] = []
+        self.tokens: list[int] = []
+
+    def add(self, token: int, depth: int) -> None:
+        while self.depths and self.depths[-1] >= depth:
+            self.depths.pop()
+            self.tokens.pop()
+        self.depths.append(depth)
+        self.tokens.append(token)
+
+    def next(self, depth: int) -> int:
+        k = bisect_right(self.depths, depth)
+        return self.tokens[k - 1] if k else -1
+
+
+def signs_of(text: str) -> tuple[list[int], list[str]]:
+    found = [(m.start(), m[0]) for m in SIGN.finditer(text)]
+    return [i for i, _ in found], [sign for _, sign in found]
+
+
+def partners(text: str, at: list[int], signs: list[str]) -> list[int]:
+    """For each sign that may open a span, the sign that closes it outside the braces in between; -1 if none does."""
+    depths, depth = [], 0
+    for sign in signs:
+        depths.append(depth)
+        depth += (sign == "{") - (sign == "}")
+    ahead = {kind: _Open() for kind in _CLOSERS.values()}
+    double = [sign == "$" and text.startswith("$$", i) for i, sign in zip(at, signs, strict=True)]
+    out = [-1] * len(at)
+    for k in range(len(at) - 1, -1, -1):
+        if k + 2 < len(at) and double[k + 2]:  # a double dollar closes from its own second sign on
+            ahead["$$"].add(k + 2, depths[k + 2])
+        sign = "$$" if double[k] else signs[k]
+        if sign in _CLOSERS:
+            out[k] = ahead[_CLOSERS[sign]].next(depths[k])
+        if signs[k] in ahead:
+            ahead[signs[k]].add(k, depths[k])
+    return out
+
+
+class Span(NamedTuple):
+    start: int
+    first: int
+    last: int
+    end: int
+    display: bool
+
+
+@lru_cache(maxsize=16)
+def spans(text: str) -> tuple[Span, ...]:
+    """The math spans, in one pass over the signs; the steps of a pass share it while they leave the text as it is."""
+    if "$" not in text and "\\[" not in text and "\\(" not in text:
+        return ()
+    at, signs = signs_of(text)
+    closing, out, k = partners(text, at, signs), [], 0
+    while k < len(at):
+        span = _span(text, at[k], signs[k], at[closing[k]]) if closing[k] >= 0 else None
+        if span is None:
+            k += 1
+        else:
+            out.append(span)
+            k = closing[k] + (2 if span.display and signs[k] == "$" else 1)
+    return tuple(out)
+
+
+def _span(text: str, i: int, sign: str, close: int) -> Span | None:
+    if sign != "$":
+        return Span(i, i + 2, close, close + 2, sign == "\\[")
+    if text.startswith("$$", i):
+        return Span(i, i + 2, close, close + 2, True) if close > i + 2 else None
+    empty = close <= i + 1 or text[i + 1].isspace() or text[close - 1].isspace()
+    if empty or text[close + 1 : close + 2].isdigit() or text.find("\n", i, close) >= 0:
         return None
-    return i + 1, close, close + 1, False
+    return Span(i, i + 1, close, close + 1, False)
 
 
 def segment(text: str | None) -> list[Segment]:
     if not text:
         return []
-    out: list[Segment] = []
-    begun = at = 0
-
-    def prose(end: int) -> None:
-        if end > begun:
-            raw = text[begun:end]
-            out.append(Segment("text", False, _unescape_dollars(raw), raw))
-
-    while (m := _STOP.search(text, at)) is not None:
-        at = m.start()
-        if text[at] == "\\":
-            follows = text[at + 1 : at + 2]
-            if escaped(text, at) or follows not in ("$", "[", "("):
-                at += 1
-                continue
-            if follows == "$":
-                at += 2
-                continue
-        span = _math_from(text, at)
-        if span is None:
-            at += 1
-            continue
-        first, last, end, display = span
-        prose(at)
-        value = text[first:last]
-        out.append(Segment("math", display, value.strip() if text.startswith("\\(", at) else value, text[at:end]))
-        begun = at = end
-    prose(len(text))
+    out, begun = [], 0
+    for span in (*spans(text), None):
+        start = span.start if span else len(text)
+        if start > begun:
+            out.append(Segment("text", False, _unescape_dollars(text[begun:start]), text[begun:start]))
+        if span:
+            value = text[span.first : span.last]
+            out.append(Segment("math", span.display, value.strip() if text.startswith("\\(", start) else value, text[start : span.end]))
+            begun = span.end
     return out
 
 
@@ -108,12 +145,17 @@ def _unescape_dollars(raw: str) -> str:
 
 def ranges(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, display) of the math segments."""
-    out, at = [], 0
-    for s in segment(text):
-        if s.math:
-            out.append((at, at + len(s.raw), s.display))
-        at += len(s.raw)
-    return out
+    return [(s.start, s.end, s.display) for s in spans(text)] if text else []
+
+
+def outside(text: str, pattern: re.Pattern):
+    """Matches of ``pattern`` over the whole text that begin in no math segment."""
+    left = list(reversed(spans(text)))
+    for m in pattern.finditer(text):
+        while left and left[-1].end <= m.start():
+            left.pop()
+        if not left or m.start() < left[-1].start:
+            yield m
 
 
 def mask(text: str) -> list[bool]:
@@ -124,6 +166,22 @@ def mask(text: str) -> list[bool]:
     return out
 
 
+def between(text: str, opener: str, closer: str, f: Callable[[str], str]) -> str:
+    """``f`` over what each opener and the next closer enclose, instead of it and them; a backslash right before one hides it."""
+
+    def bare(sign: str, at: int) -> int:
+        while (at := text.find(sign, at)) > 0 and text[at - 1] == "\\":
+            at += 1
+        return at
+
+    out, begun, at = [], 0, bare(opener, 0)
+    while at >= 0 and (close := bare(closer, at + len(opener))) >= 0:
+        out += [text[begun:at], f(text[at + len(opener) : close])]
+        begun = close + len(closer)
+        at = bare(opener, begun)
+    return "".join([*out, text[begun:]])
+
+
 def map_text(text: str, f: Callable[[str], str]) -> str:
     return "".join(s.raw if s.math else f(s.raw) for s in segment(text))
 
