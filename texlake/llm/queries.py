@@ -61,8 +61,9 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
-    return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    place = lambda k: F.round(F.get("positions", F.lit(k))).cast("long")
+    mixed = mixing.mix(read(spark, sf_dir, "documents")).withColumns({"position": place(0), "second_position": place(1)})
+    return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,15 +99,33 @@ with recursive u as (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as tail
   from u
 ), tags as (
-  select host || tail as src, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\s[^>]*>')) as tag from p where host <> ''
-), targets as (
-  select src, case when regexp_matches(tag, '(?is)^<link\s.*\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    when regexp_matches(tag, '(?is)^<meta\s.*\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end as dst
+  -- elements from their '<' on, up to the next '>'
+  select host, path, tail, split_part(x, '>', 1) as tag
+  from p, unnest(list_filter(string_split(coalesce(html, ''), '<')[2:], lambda x: regexp_matches(x, '(?i)^(link|meta)\s') and contains(x, '>'))) as t(x) where host <> ''
+), attributes as (
+  select host, path, tail, lower(regexp_extract(tag, '^\w+', 0)) as name,
+    list_transform(regexp_extract_all(tag, '[\w-]+\s*=\s*("[^"]*"|''[^'']*''|[^\s"'']+)'), lambda x: {'k': lower(trim(split_part(x, '=', 1))), 'v': trim(substr(x, strpos(x, '=') + 1), chr(32) || chr(34) || chr(39))}) as a
   from tags
+), read as (
+  select host, path, tail, name, list_filter(a, lambda x: x.k = 'rel')[1].v as rel, list_filter(a, lambda x: x.k = 'href')[1].v as href,
+    list_filter(a, lambda x: x.k = 'http-equiv')[1].v as equiv, list_filter(a, lambda x: x.k = 'content')[1].v as content from attributes
+), targets as (
+  select host, path, tail, trim(replace(replace(case when name = 'link' and lower(trim(rel)) = 'canonical' then href
+    when name = 'meta' and lower(trim(equiv)) = 'refresh' then regexp_extract(content, '(?i)url\s*=\s*(.+)$', 1) end, '&amp;', '&'), '&#38;', '&'), chr(32) || chr(34) || chr(39)) as dst
+  from read
 ), d as (
-  select src, substr(dst, strpos(dst, '://') + 3) as rest from targets where contains(dst, '://')
+  select host, path, tail, case when regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') then substr(dst, strpos(dst, '://') + 3) when starts_with(dst, '//') then substr(dst, 3)
+    when regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*:') then '' when starts_with(dst, '/') then host || dst when starts_with(dst, '?') then host || path || dst
+    else host || case when path = '' then '/' else regexp_replace(path, '[^/]*$', '') end || dst end as rest
+  from targets where dst <> ''
+), flat(host, tail, rest, steps) as (
+  -- one step of a dot segment at a time
+  select host, tail, rest, 9 from d where rest <> ''
+  union all
+  select host, tail, regexp_replace(regexp_replace(regexp_replace(rest, '/\./', '/'), '^([^/?#]+)/\.\./', '\1/'), '^([^?#]*)/[^/?#]+/\.\./', '\1/'), steps - 1 from flat where steps > 0
 ), e as (
-  select src, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as dst from d
+  select host || tail as src, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as dst
+  from flat where steps = 0
 ), both_ways as (
   select src, dst from e where src <> dst union select dst, src from e where src <> dst
 ), reach as (
@@ -143,15 +162,22 @@ with d as (
 ), l as (
   select *, min(case when (total - capped) / open_weight <= full_at then {{'f': full_at, 'p': place, 'l': (total - capped) / open_weight}} end) over () as found from o
 ), t as (
-  select source, source_size, least(cap, coalesce(found.l * weight, cap))::double as target from l
+  select source, source_size, place, least(cap, coalesce(found.l * weight, cap))::double as target from l
 ), c as (
+  -- a weight runs from a to b over training time; at time x the share a x + (b - a) x^2 / 2 of its demand is met
   select d.*, t.source_size, t.target, round(t.target)::bigint as goal,
+    (select sum(target) from t) as whole, case when place % 2 = 1 then 1.5 else 0.5 end::double as a,
     coalesce(sum(size) over (partition by d.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as begun
   from d join t on d.source is not distinct from t.source
+), p as (
+  select *, least(size, greatest(goal - begun, 0)) as one, least(size, greatest(goal - begun - source_size, 0)) as two,
+    begun / nullif(target, 0) as at_one, (begun + source_size) / nullif(target, 0) as at_two, 2 * (1 - a) as slope
+  from c
 )
-select doc_id, size, source_size, target,
-  (least(size, greatest(goal - begun, 0)) + least(size, greatest(goal - begun - source_size, 0)))::bigint as taken
-from c
+select doc_id, size, source_size, target, (one + two)::bigint as taken,
+  case when one > 0 then round((sqrt(a * a + 2 * slope * at_one) - a) / slope * whole)::bigint end as position,
+  case when two > 0 then round((sqrt(a * a + 2 * slope * at_two) - a) / slope * whole)::bigint end as second_position
+from p
 """
 
 OP8_SQL = rf"""
