@@ -11,12 +11,15 @@ Two candidates are near duplicates if aligned k-mers / (all k-mers of both - ali
 similarity the two texts differ by at most (n + m) / 9 k-mers, so no pair of positions further apart than that
 can be aligned, and the band loses nothing.
 
-Work is linear in the size of a group. Equal k-mer sequences collapse into a class before any pair is made.
-A bucket of up to ``small_bucket`` classes gives all its pairs (a constant bound); a larger one gives a star
-around its first class. In the next rounds the classes of a bucket that lie outside its largest component are
-compared with another class of that component. What still lies in several components is compared
-exhaustively, the classes outside the largest component against all in blocks of ``block`` classes, so stars
-lose no candidate pair. Pairs that are linked already are skipped.
+Rows with equal k-mer sequences collapse into a class before any pair is made. A bucket of up to ``small_bucket``
+classes gives all its pairs (a constant bound); a larger one gives a star around its first class. Where a large
+bucket then still spans several components, an exact filter finds what may yet be linked: two texts of similarity
+s share one of the n - ceil(s n) + 1 rarest k-mers of the longer and one of the n - ceil(2 s n / (1 + s)) + 1 rarest
+of the shorter, rarity being the number of classes here that hold a k-mer. So a passage that many texts share makes
+no candidates, and a text whose rare k-mers are its own drops out. What remains falls into families (classes joined
+through such k-mers); in a family, the classes outside its largest component are compared with all others in blocks
+of bounded bytes. Every candidate pair is thus linked, excluded by the filter, or compared; pairs in one component
+are skipped. Links between classes of a family that share no tuple count as well.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ class DedupParams:
     sketches: int = 16
     per_sketch: int = 3
     small_bucket: int = 8
-    star_rounds: int = 3
-    block: int = 512
+    block: int = 512  # classes in a block of a family, and the k-mers that they may hold together
+    block_kmers: int = 1 << 20
     seed: int = 11
 
 
@@ -135,7 +138,7 @@ SKETCH = "doc_id long, h1 long, h2 long, n_kmers int, keys array<long>"
 
 
 def sketch(docs: DataFrame, p: DedupParams) -> DataFrame:
-    """One slim row a document: its 128-bit fingerprint, number of k-mers and sketch keys."""
+    """One slim row a row of ``docs``: doc_id, its 128-bit fingerprint, number of k-mers and sketch keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_kmers", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def of(batches):
@@ -154,35 +157,224 @@ def sketch(docs: DataFrame, p: DedupParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, SKETCH)
 
 
-def sequence_table(docs: DataFrame, reps: DataFrame, p: DedupParams) -> DataFrame:
-    """(rep, seq): the k-mers of the classes in ``reps`` as bytes, so that no text is read twice.
+@dataclass(frozen=True)
+class Classes:
+    """The distinct k-mer sequences of a table.
+
+    ``rows``: a row a document (doc_id, row, h1, h2, n_kmers). ``classes``: node (a number of its own), doc_id (the smallest
+    one), row (one row of that doc_id), h1, h2, n, keys. ``repeated``: the ids of several rows, and null; None if there are none.
+    """
+
+    rows: DataFrame
+    classes: DataFrame
+    repeated: DataFrame | None
+
+
+def classes_of(docs: DataFrame, p: DedupParams) -> Classes:
+    rows = shared_checkpoint(sketch(docs, p).withColumn("row", F.monotonically_increasing_id()))
+    grouped = rows.where("n_kmers > 0").groupBy("h1", "h2").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min_by("row", "doc_id").alias("row"), F.first("n_kmers").alias("n"), F.first("keys").alias("keys")
+    )
+    classes = shared_checkpoint(grouped.withColumn("row", F.coalesce("row", "node")))
+    repeated = shared_checkpoint(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
+    return Classes(rows, classes, None if repeated.isEmpty() else repeated)
+
+
+def split_by_id(wanted: DataFrame, c: Classes) -> tuple[DataFrame, DataFrame | None]:
+    """``wanted`` (with doc_id) in two parts: ids of one row, and ids of several rows or null."""
+    if c.repeated is None:
+        return wanted, None
+    many = c.repeated.withColumnRenamed("doc_id", "many_id")
+    same = F.col("doc_id").eqNullSafe(F.col("many_id"))
+    return wanted.join(many, same, "left_anti"), wanted.join(many, same, "left_semi")
+
+
+def fingerprints(p: DedupParams, with_sequence: bool):
+    """A column function of text: struct (h1, h2, n_kmers, and the packed sequence if it is asked for)."""
+    kind = "struct<h1:bigint,h2:bigint,n_kmers:int" + (",seq:binary>" if with_sequence else ">")
+
+    @F.arrow_udf(kind)
+    def of(texts: pa.Array) -> pa.Array:
+        h1, h2, n, packed = [], [], [], []
+        for seq in sequences(as_strings(texts), p.k):
+            a, b = fingerprint(seq)
+            h1.append(a)
+            h2.append(b)
+            n.append(len(seq))
+            packed.append(seq.tobytes() if with_sequence else None)
+        fields = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32())] + [pa.array(packed, pa.binary())] * with_sequence
+        return pa.StructArray.from_arrays(fields, ["h1", "h2", "n_kmers", "seq"][: len(fields)])
 
-    32 bits of each hash are kept. Two k-mers of one text that agree in them count as one, which in a text of
-    20,000 words happens to one k-mer in some 20 texts.
+    return of
+
+
+def sequence_table(docs: DataFrame, wanted: DataFrame, c: Classes, p: DedupParams) -> DataFrame:
+    """(node, seq): the labelled k-mer hashes of the classes ``wanted`` (node, doc_id, h1, h2), as bytes.
+
+    A document's text is read again, by its id. Only where an id has several rows is it told by the fingerprint
+    which of them belongs to the class.
     """
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sequences(as_strings(texts), p.k)], pa.binary())
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
-    return texts.groupBy("rep").agg(F.min("text").alias("text")).select("rep", packed("text").alias("seq"))
+        return pa.array([s.tobytes() for s in sequences(as_strings(texts), p.k)], pa.binary())
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    one, many = split_by_id(wanted, c)
+    out = texts.join(one.select("node", F.col("doc_id").alias("id")), "id").select("node", packed("text").alias("seq"))
+    if many is not None:
+        same = c.repeated.select(F.col("doc_id").alias("many_id"))
+        found = texts.join(same, texts["id"].eqNullSafe(same["many_id"]), "left_semi").select("id", fingerprints(p, True)("text").alias("f"))
+        found = found.select("id", F.col("f.h1").alias("h1"), F.col("f.h2").alias("h2"), F.col("f.seq").alias("seq"))
+        found = found.join(many.select("node", "doc_id", "h1", "h2"), ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("doc_id")))
+        out = out.union(found.groupBy("node").agg(F.min("seq").alias("seq")))
+    return out
 
 
 def unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
-    """The pairs (a, b) whose sequences align at the least similarity, with it."""
+    """The pairs (a, b) whose sequences align at the least similarity."""
+
+    @F.arrow_udf("boolean")
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([aligned_similarity(a, b, p.similarity) >= p.similarity for a, b in zip(unpack(left), unpack(right), strict=True)], pa.bool_())
 
-    @F.arrow_udf("double")
-    def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([aligned_similarity(a, b, p.similarity) for a, b in zip(unpack(left), unpack(right), strict=True)], pa.float64())
+    left, right = seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(near("sa", "sb")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, p: DedupParams | None = None) -> DataFrame:
+    """One row a row of ``docs``: doc_id, class_id (smallest doc_id of the connected near duplicates), kept (true for one
+    row of each class, of that doc_id), exact_id (smallest doc_id of the equal k-mer sequences).
+
+    Documents without words are classes of their own and kept. Rows that repeat a doc_id are compared each by its own
+    text. Of rows with equal ids and equal k-mers one is kept. Rows with a null doc_id are compared like others and
+    name a class only if it has no other id; then class_id is null. An empty table gives no rows.
+    """
+    p = p or DedupParams()
+    c = classes_of(docs, p)
+    return labelled_rows(c, survivors(c, components_of(docs, c, p)))
 
-    left, right = seqs.select(F.col("rep").alias("a"), F.col("seq").alias("sa")), seqs.select(F.col("rep").alias("b"), F.col("seq").alias("sb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("sa", "sb").alias("similarity"))
-    return scored.where(F.col("similarity") >= p.similarity)
+
+def survivors(c: Classes, components: DataFrame) -> DataFrame:
+    """(node, class_id, best) of the classes that are linked: best tells the one class that its component keeps.
+
+    That is the class of the smallest doc_id; of several classes of that id, the one of the smallest fingerprint.
+    """
+    linked = c.classes.select("node", "doc_id", "h1", "h2").join(components, "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h1", "h2", "node")).alias("first")
+    best = linked.groupBy("component").agg(first).select("component", "first")
+    return linked.join(best, "component").select("node", F.col("first.doc_id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("best"))
+
+
+def labelled_rows(c: Classes, found: DataFrame) -> DataFrame:
+    named = c.classes.select("h1", "h2", "node", F.col("doc_id").alias("exact_id"), F.col("row").alias("first_row")).join(found.withColumn("linked", F.lit(True)), "node", "left")
+    rows = c.rows.select("doc_id", "row", "h1", "h2", "n_kmers").join(named, ["h1", "h2"], "left")
+    own = F.col("n_kmers") == 0
+    kept = own | ((F.col("row") == F.col("first_row")) & F.coalesce("best", F.lit(True)))
+    class_id = F.when(own, F.col("doc_id")).when(F.col("linked"), F.col("class_id")).otherwise(F.col("exact_id"))
+    return rows.select("doc_id", class_id.alias("class_id"), kept.alias("kept"), F.when(own, F.col("doc_id")).otherwise(F.col("exact_id")).alias("exact_id"))
+
+
+def components_of(docs: DataFrame, c: Classes, p: DedupParams) -> DataFrame:
+    """(node, component) of the classes that are linked to others."""
+    entries = c.classes.select("node", "n", F.posexplode("keys").alias("s", "key")).select("node", "n", F.xxhash64("s", "key").alias("key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min_by("n", "node").alias("first_n")).where("size > 1")
+    # counts are written before they are joined back: an exchange of its own on each side lets a hot key be split
+    buckets = shared_checkpoint(entries.join(shared_checkpoint(sizes), "key"))
+    near = lambda x, y: F.least(x, y) >= p.similarity * F.greatest(x, y) - 1e-9  # noqa: E731  alignment can't beat the ratio of the lengths
+    large = buckets.where(F.col("size") > p.small_bucket)
+    star = large.where((F.col("node") != F.col("first")) & near(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    small = buckets.where(F.col("size") <= p.small_bucket).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m"))
+    small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["node"] > F.col("x.node"))).alias("y"))
+    small = small.where(near(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = shared_checkpoint(star.union(small).distinct())
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    wanted = c.classes.select("node", "doc_id", "h1", "h2").join(compared, "node")
+    seqs = shared_checkpoint(sequence_table(docs, wanted, c, p))
+    components = shared_checkpoint(connected_components(verified(pairs, seqs, p), "a", "b"))
+    units = family_units(large, components, seqs, p)
+    if units is None:
+        return components.toDF("node", "component")
+    more = compared_blocks(units, seqs, p)
+    return merged(components.toDF("node", "component"), connected_components(more, "a", "b").toDF("component", "joined"))
+
+
+def merged(components: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, component) after further links between components; ``joined`` names the component that each belongs to.
+
+    A component that held one class only is not among ``components``; then its name is that class.
+    """
+    joined = shared_checkpoint(joined)
+    renamed = components.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("node"), F.col("joined").alias("component")).join(components, "node", "left_anti")
+    return shared_checkpoint(renamed.union(alone))
+
+
+def prefix_sizes(n, p: DedupParams):
+    """How many of the rarest k-mers a text of n must look up (as the longer one of a pair), and offer (as the shorter)."""
+    look = n - F.ceil(n * F.lit(p.similarity) - F.lit(1e-9)) + 1
+    offer = n - F.ceil(n * F.lit(2 * p.similarity / (1 + p.similarity)) - F.lit(1e-9)) + 1
+    return look, offer
+
+
+def family_units(large: DataFrame, components: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame | None:
+    """Blocks of the families of the classes that large buckets leave apart: (family, i, j, node, component, left);
+    None if there are none."""
+    named = large.select("key", "node").join(components.toDF("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    loose = shared_checkpoint(named.join(shared_checkpoint(apart), "key").select("node", "component").distinct())
+    if loose.isEmpty():
+        return None
+
+    def exploded(batches):
+        for batch in batches:
+            nodes, components = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            seqs = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            sizes = np.array([len(x) for x in seqs], np.int32)
+            part = np.cumsum(sizes) // p.block_kmers  # at most about so many k-mers at once, whatever the batch holds
+            for k in np.unique(part):
+                at = np.flatnonzero(part == k)
+                columns = [np.repeat(x[at], sizes[at]) for x in (nodes, components, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.concatenate([seqs[i] for i in at]))], names=["node", "component", "n", "kmer"])
+
+    items = loose.join(seqs, "node").select("node", "component", "seq").mapInArrow(exploded, "node long, component long, n int, kmer long")
+    often = items.groupBy("kmer").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
+    # k-mers of one class only come first in the order of rarity and find nothing, so only their number counts
+    shared = items.select("node", "n", "kmer").join(shared_checkpoint(often), "kmer").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "kmer", (F.col("low") < F.col("high")).alias("apart")))).alias("shared"))
+    look, offer = prefix_sizes(F.col("n"), p)
+    alone = F.col("n") - F.size("shared")
+    prefix = shared.select("node", (offer - alone).alias("offered"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(look - alone, F.lit(0)).cast("int"))).alias("rank", "k"))
+    prefix = prefix.where("k.apart").select("node", F.col("k.kmer").alias("kmer"), (F.col("rank") < F.col("offered")).alias("offers"))
+    prefix = shared_checkpoint(prefix.join(loose, "node"))
+    groups = prefix.groupBy("kmer").agg(F.min("node").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("offers").alias("offers"))
+    groups = shared_checkpoint(groups.where("low <> high and offers").select("kmer", "hub"))
+    families = connected_components(prefix.join(groups, "kmer").select("hub", "node"), "hub", "node").toDF("node", "family")
+    lengths = seqs.select("node", (F.length("seq") / 8).cast("long").alias("n"))
+    members = shared_checkpoint(families.join(loose, "node").join(lengths, "node").select("family", "node", "component", "n"))
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    parts = parts.groupBy("family").agg(F.max(F.struct("c", "n", "component")).alias("main"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    parts = shared_checkpoint(parts.where("parts > 1"))
+    return None if parts.isEmpty() else blocks_of(members, parts, p)
+
+
+def blocks_of(members: DataFrame, families: DataFrame, p: DedupParams) -> DataFrame:
+    """Each block of a family's classes outside its main component with itself, with those after it, and with each block
+    of the main component's classes: (family, i, j, node, component, left)."""
+    blocks = lambda c, n: F.ceil(F.greatest(c / p.block, n / p.block_kmers)).cast("int")
+    main = F.col("main")
+    families = families.select("family", main["component"].alias("main"), blocks(F.col("c") - main["c"], F.col("n") - main["n"]).alias("odd"), blocks(main["c"], main["n"]).alias("even"))
+    rows = members.join(families, "family").withColumn("is_odd", F.col("component") != F.col("main"))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("node", F.lit(p.seed)), F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).cast("int"))
+    up_to = lambda low, high: F.explode(F.sequence(low, high))
+    zero, last = F.lit(0), F.col("odd") + F.col("even") - 1
+    first = rows.where("is_odd").select("family", F.col("place").alias("i"), up_to(F.col("place"), last).alias("j"), "node", "component", F.lit(True).alias("left"))
+    later = rows.where("is_odd and place > 0").select("family", up_to(zero, F.col("place") - 1).alias("i"), F.col("place").alias("j"), "node", "component", F.lit(False).alias("left"))
+    others = rows.where("not is_odd").select("family", up_to(zero, F.col("odd") - 1).alias("i"), (F.col("odd") + F.col("place")).alias("j"), "node", "component", F.lit(False).alias("left"))
+    return first.union(later).union(others)
 
 
 def shared_counts(seqs: list[np.ndarray], n_left: int, columns: int = 1 << 11) -> np.ndarray:
@@ -205,132 +397,55 @@ def shared_counts(seqs: list[np.ndarray], n_left: int, columns: int = 1 << 11) -
     return out
 
 
-def verified_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
-    """Links between unlinked classes of a unit: those of its left side with all others.
+def compared_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
+    """Links (a, b) between components: those of a unit's left side with all others that its classes were not linked to.
 
-    A unit holds at most two blocks of classes, whatever the size of its bucket. Only pairs that share enough
+    A unit holds at most two blocks of classes, whatever the size of its family. Only pairs that share enough
     k-mers to reach the similarity are aligned.
     """
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("left", "descending"), ("rep", "ascending")])
-        reps, comps = table["rep"].to_pylist(), table["component"].to_pylist()
-        seqs, n_left = unpack(table["seq"]), int(sum(table["left"].to_pylist()))
-        sizes = np.array([len(s) for s in seqs])
-        shared = shared_counts(seqs, n_left)
-        enough = shared >= p.similarity / (1 + p.similarity) * (sizes[:n_left, None] + sizes[None, :]) - 1e-6
-        label = np.unique(np.array(comps), return_inverse=True)[1]
+        table = table.sort_by([("left", "descending"), ("node", "ascending")])
+        names, seqs, n_left = np.asarray(table["component"]), unpack(table["seq"]), int(np.sum(np.asarray(table["left"])))
+        alone = table["i"][0].as_py() == table["j"][0].as_py()  # a block with itself; else its own pairs are another unit's
         out = []
-        for i in range(n_left):
-            todo = enough[i] & (np.arange(len(seqs)) > i)
-            while len(open_ := np.flatnonzero(todo & (label != label[i]))):
-                j = open_[0]
-                todo[j] = False
-                if (s := aligned_similarity(seqs[i], seqs[j], p.similarity)) >= p.similarity:
-                    label[label == label[j]] = label[i]
-                    out.append((min(reps[i], reps[j]), max(reps[i], reps[j]), s))
-        a, b, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
-
-    rows = units.join(seqs, "rep").select("key", "i", "j", "rep", "component", "left", "seq")
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
+        if n_left and (alone or n_left < len(seqs)):
+            sizes = np.array([len(s) for s in seqs])
+            enough = shared_counts(seqs, n_left) >= p.similarity / (1 + p.similarity) * (sizes[:n_left, None] + sizes[None, :]) - 1e-3
+            label = np.unique(names, return_inverse=True)[1]
+            for i in range(n_left):
+                todo = enough[i] & (np.arange(len(seqs)) > (i if alone else n_left - 1))
+                while len(open_ := np.flatnonzero(todo & (label != label[i]))):
+                    j = open_[0]
+                    todo[j] = False
+                    if aligned_similarity(seqs[i], seqs[j], p.similarity) >= p.similarity:
+                        label[label == label[j]] = label[i]
+                        out.append((names[i], names[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = units.join(seqs, "node").select("family", "i", "j", "node", "component", "left", "seq")
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, p: DedupParams | None = None) -> DataFrame:
-    """One row a document: doc_id, class_id (smallest doc_id of the connected near duplicates), kept (whether it is
-    that doc_id), n_links (links of its text to other texts among the pairs that were verified), exact_id (smallest
-    doc_id of the equal k-mer sequences).
-
-    n_links is no count of near duplicates: a bucket of up to ``small_bucket`` classes verifies all its pairs, a larger
-    one only those of its stars and those that join components, so texts of large groups have fewer links than near
-    duplicates. It is 0 only for a text that is linked to no other.
+def keep_one(docs: DataFrame, p: DedupParams | None = None) -> DataFrame:
+    """``docs`` with one row of each class, that which ``near_duplicates`` keeps; all rows without words stay.
 
-    Documents without words are classes of their own. Rows that repeat a doc_id are one document: links are
-    verified on the smallest of its texts. A null doc_id is kept, unlinked, with null ids. An empty table gives
-    no rows.
+    Of rows with equal ids and equal k-mers, the first by all their columns stays.
     """
     p = p or DedupParams()
-    rows = shared_checkpoint(sketch(docs.where("doc_id is not null"), p))
-    classes = rows.where("n_kmers > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_kmers").alias("n"), F.first("keys").alias("keys"))
-    classes = shared_checkpoint(classes)
-    links, components = links_of(docs, classes, p)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("h1", "h2", "rep").join(components.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left")
-    out = rows.select("doc_id", "h1", "h2", "n_kmers").join(named, ["h1", "h2"], "left")
-    own = lambda c: F.when(F.col("n_kmers") > 0, c).otherwise(F.col("doc_id"))
-    out = out.select(
-        "doc_id", own(F.coalesce("component", "rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own(F.col("rep")).alias("exact_id")
-    )
-    null = F.lit(None).cast("long")
-    unnamed = docs.where("doc_id is null").select(null.alias("doc_id"), null.alias("class_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"), null.alias("exact_id"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_links", "exact_id").union(unnamed)
-
-
-def links_of(docs: DataFrame, classes: DataFrame, p: DedupParams) -> tuple[DataFrame, DataFrame]:
-    """(verified links a < b between classes, components of linked classes)."""
-    entries = classes.select("rep", "n", F.posexplode("keys").alias("s", "key"))
-    entries = entries.select("rep", "n", F.xxhash64("s", "key").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("first")).where("size > 1")
-    buckets = shared_checkpoint(entries.join(sizes, "key"))
-    near = lambda x, y: F.least(x, y) >= p.similarity * F.greatest(x, y)  # noqa: E731  alignment can't beat the ratio of the lengths
-    star = buckets.where((F.col("size") > p.small_bucket) & (F.col("rep") != F.col("first.rep")) & near(F.col("n"), F.col("first.n")))
-    star = star.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-    small = buckets.where(F.col("size") <= p.small_bucket).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
-    small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["rep"] > F.col("x.rep"))).alias("y"))
-    small = small.where(near(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = shared_checkpoint(star.union(small).distinct())
-    large = buckets.where(F.col("size") > p.small_bucket).select("key", "rep", "n", "size")
-    compared = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
-    seqs = shared_checkpoint(sequence_table(docs, compared, p))
-    links = shared_checkpoint(verified(pairs, seqs, p))
-    components = shared_checkpoint(connected_components(links, "a", "b"))
-    for turn in range(1, p.star_rounds):
-        odd = split_buckets(large, components, turn, p)
-        if odd is None:
-            return links, components
-        around = odd.where(F.col("component") != F.col("main.component")).where(near(F.col("n"), F.col("main.n")))
-        around = around.select(F.least("rep", "main.rep").alias("a"), F.greatest("rep", "main.rep").alias("b")).distinct()
-        fresh = shared_checkpoint(around.join(pairs, ["a", "b"], "left_anti"))
-        found = shared_checkpoint(verified(fresh, seqs, p))
-        pairs = shared_checkpoint(pairs.union(fresh))
-        if found.isEmpty():
-            break
-        links, components = merged(links, found)
-    odd = split_buckets(large, components, 0, p)
-    if odd is not None:
-        links, components = merged(links, verified_blocks(residual_units(odd, p), seqs, p))
-    return links, components
-
-
-def merged(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    links = shared_checkpoint(links.union(more).dropDuplicates(["a", "b"]))
-    return links, shared_checkpoint(connected_components(links, "a", "b"))
-
-
-def split_buckets(large: DataFrame, components: DataFrame, turn: int, p: DedupParams) -> DataFrame | None:
-    """The large buckets whose classes lie in several components, with a class of the largest one (another each turn)
-    and that component's count; None if there are none."""
-    rows = large.join(components.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    place = F.xxhash64("rep", F.lit(p.seed + turn))
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(place.alias("place"), "rep", "n")).alias("pick"))
-    main = F.max(F.struct("c", "component", "pick.rep", "pick.n")).alias("main")
-    mixed = parts.groupBy("key").agg(main, F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    mixed = shared_checkpoint(rows.join(mixed, "key"))
-    return None if mixed.isEmpty() else mixed
-
-
-def residual_units(mixed: DataFrame, p: DedupParams) -> DataFrame:
-    """Blocks of buckets: each block of classes outside the largest component with each block of all classes."""
-    odd, blocks = F.ceil((F.col("size") - F.col("main.c")) / p.block).cast("int"), F.ceil(F.col("size") / p.block).cast("int")
-    place = F.xxhash64("rep", F.lit(p.seed))
-    rows = mixed.withColumn("odd", F.col("component") != F.col("main.component"))
-    rows = rows.withColumn("bi", F.pmod(place, odd).cast("int")).withColumn("bj", F.pmod(place, blocks).cast("int")).withColumn("n_i", odd).withColumn("n_j", blocks)
-    left = rows.where("odd").select("key", "rep", "component", F.col("bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(1).alias("left"))
-    right = rows.select("key", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.col("bj").alias("j"), F.lit(0).alias("left"))
-    return left.union(right).groupBy("key", "i", "j", "rep", "component").agg(F.max("left").alias("left"))
-
-
-def keep_one(docs: DataFrame, p: DedupParams | None = None) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, p).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    c = classes_of(docs, p)
+    found = survivors(c, components_of(docs, c, p))
+    kept = labelled_rows(c, found).where("kept").select("doc_id")
+    one, _ = split_by_id(kept, c)
+    out = docs.join(one.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    if c.repeated is None:
+        return out
+    unlinked = c.classes.select("node", "doc_id", "h1", "h2").join(found.where("not best"), "node", "left_anti").select("doc_id", "h1", "h2")
+    _, many = split_by_id(unlinked, c)
+    id_ = F.col("row.doc_id").cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), fingerprints(p, False)("text").alias("f"))
+    rows = rows.join(c.repeated.select(F.col("doc_id").alias("many_id")), id_.eqNullSafe(F.col("many_id")), "left_semi")
+    same = id_.eqNullSafe(F.col("doc_id")) & (F.col("f.h1") == F.col("h1")) & (F.col("f.h2") == F.col("h2"))
+    first = rows.where("f.n_kmers > 0").join(many, same).groupBy("doc_id", "h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.union(rows.where("f.n_kmers = 0").select("row.*")).union(first.select("row.*"))
