@@ -10,6 +10,8 @@ Conventions that every operator here follows:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 
@@ -67,19 +69,36 @@ def sample_key(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bounded_sample(rows: DataFrame, class_col: str, per_class: int, max_classes: int = 256) -> tuple[DataFrame, dict]:
+def bounded_sample(rows: DataFrame, class_col: str, per_class: int, max_classes: int = 256, total: int | None = None) -> tuple[DataFrame, dict]:
     """At most about ``per_class`` rows of each class (by hash of doc_id), and all classes' row counts.
 
-    ``rows`` has doc_id and ``class_col``. Only the ``max_classes`` most frequent classes are sampled. The
-    counts come from all rows; the sample keeps the rows whose hash lies below each class's share, so no
-    class is ordered or gathered as a whole.
+    ``rows`` has doc_id and ``class_col``. Only the ``max_classes`` most frequent classes are sampled; with ``total``, each
+    class gets at most its equal part of so many rows. The counts come from all rows; the sample keeps the rows whose hash
+    lies below each class's share, so no class is ordered or gathered as a whole.
     """
     counted = rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count()
     counts = {r[0]: r[1] for r in counted.orderBy(F.desc("count"), class_col).limit(max_classes).collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(class_col) == F.lit(value), F.lit(min(1.0, per_class / max(n, 1)))).otherwise(share)
-    return rows.where(sample_key(F.col("doc_id")) < share), counts
+    per = per_class if total is None else min(per_class, max(1, total // max(len(counts), 1)))
+    kind = rows.schema[class_col].dataType.simpleString()
+    shares = rows.sparkSession.createDataFrame([(value, min(1.0, per / max(n, 1))) for value, n in counts.items()], f"_class {kind}, _share double")
+    chosen = rows.join(F.broadcast(shares), F.col(class_col) == F.col("_class")).where(sample_key(F.col("doc_id")) < F.col("_share"))
+    return chosen.drop("_class", "_share"), counts
+
+
+def slice_of(text: Column, doc_id: Column, limit: int) -> Column:
+    """``text``, or of a longer one the ``limit`` characters from a place that depends on its id."""
+    start = F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("slice")), F.length(text) - limit + 1) + 1
+    return F.when(F.length(text) <= limit, text).otherwise(F.substring(text, start.cast("int"), F.lit(limit)))
+
+
+def release_memory() -> None:
+    """Give back what training on the driver has freed: allocators keep it otherwise, beside the driver's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):

@@ -13,7 +13,7 @@ all texts are ``und``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, as_strings, bounded_sample, fold, mix64, segment_sums, text_slices, words_of
+from .common import SLICE_BYTES, as_strings, bounded_sample, fold, mix64, release_memory, segment_sums, slice_of, text_slices, words_of
 
 UNKNOWN = "und"
 
@@ -30,7 +30,8 @@ UNKNOWN = "und"
 class LangParams:
     per_class: int = 700
     max_chars: int = 8_000
-    max_classes: int = 64
+    max_rows: int = 45_000  # of all languages together
+    max_classes: int = 4_000
     buckets: int = 1 << 16
     dims: int = 12
     orders: tuple = (1, 2, 3, 4)
@@ -65,18 +66,25 @@ def subwords(distinct: pa.Array, p: LangParams) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class LangModel:
-    """``table``: each bucket's embedding already multiplied by the softmax weights (averaging is linear)."""
+    """``table`` and ``out``: the embeddings of the buckets and the softmax weights. With no more languages than dimensions
+    the table is multiplied by the weights beforehand (averaging is linear), and ``out`` is None."""
 
     langs: list[str]
     table: np.ndarray
+    out: np.ndarray | None
     bias: np.ndarray
     temperature: float
     reject_below: float
     p: LangParams
 
+    def folded(self) -> LangModel:
+        if self.out is None or self.out.shape[1] > self.out.shape[0]:
+            return self
+        return replace(self, table=(self.table @ self.out).astype(np.float32), out=None)
+
     def word_sums(self, distinct: pa.Array, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the rows of each word's subwords, and their number; some words at once, to bound memory."""
-        sums, sizes = np.zeros((len(distinct), len(self.langs)), np.float32), np.zeros(len(distinct), np.int32)
+        sums, sizes = np.zeros((len(distinct), self.table.shape[1]), np.float32), np.zeros(len(distinct), np.int32)
         for at in range(0, len(distinct), step):
             buckets, first = subwords(distinct.slice(at, step), self.p)
             sums[at : at + step] = segment_sums(self.table[buckets], first)
@@ -91,7 +99,8 @@ class LangModel:
             distinct, codes, offsets = words_of(part)
             sums, sizes = self.word_sums(distinct)
             n = segment_sums(sizes[codes].astype(float), offsets)
-            logit = segment_sums(sums[codes], offsets) / np.maximum(n, 1)[:, None] + self.bias
+            logit = segment_sums(sums[codes], offsets) / np.maximum(n, 1)[:, None]
+            logit = (logit if self.out is None else logit @ self.out) + self.bias
             z = logit / self.temperature
             z = np.exp(z - z.max(axis=1, keepdims=True))
             at = slice(start, start + len(part))
@@ -129,7 +138,7 @@ def fit(texts: pa.Array, langs: list[str], p: LangParams | None = None) -> LangM
     p = p or LangParams()
     names = sorted(set(langs))
     if not names:
-        return LangModel([], np.zeros((p.buckets, 0)), np.zeros(0), 1.0, 0.0, p)
+        return LangModel([], np.zeros((p.buckets, 0)), None, np.zeros(0), 1.0, 0.0, p)
     y = np.array([names.index(x) for x in langs])
     features = document_features(as_strings(texts), p)
     rng = np.random.default_rng(p.seed)
@@ -155,10 +164,11 @@ def fit(texts: pa.Array, langs: list[str], p: LangParams | None = None) -> LangM
             bias -= rate * g
             # the shares of a document sum to 1 over thousands of buckets: the rate of a bucket grows with their number
             emb[ids] = rows - rate * np.outer(share * min(len(ids), 500), back)
-    model = LangModel(names, (emb @ out).astype(np.float32), bias, 1.0, 0.0, p)
+    direct = LangModel(names, emb.astype(np.float32), out, bias, 1.0, 0.0, p)
+    model = direct.folded()
     judged = np.flatnonzero(aside & usable) if (aside & usable).sum() >= 20 else train
     if len(judged) and len(names) > 1:
-        logit = np.stack([features[i][1] @ model.table[features[i][0]] + bias for i in judged])
+        logit = np.stack([features[i][1] @ emb[features[i][0]] @ out + bias for i in judged])
         best = (np.inf, 1.0)
         for t in np.exp(np.linspace(np.log(0.2), np.log(8), 61)):
             z = logit / t
@@ -175,13 +185,20 @@ def fit(texts: pa.Array, langs: list[str], p: LangParams | None = None) -> LangM
 
 
 def train(docs: DataFrame, mod: int = 4, held_out: int = 2, p: LangParams | None = None) -> LangModel:
-    """Learn from text and non-null lang of the documents whose fold is not ``held_out``."""
+    """Learn from text and non-null lang of the documents whose fold is not ``held_out``.
+
+    Every language is learned, up to the ``max_classes`` most frequent: on about ``per_class`` rows each, on fewer if that
+    would be more than ``max_rows`` in all. Of a text longer than ``max_chars`` a slice is learned from.
+    """
     p = p or LangParams()
     seen = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    seen = seen.where((fold(F.col("doc_id"), mod) != held_out) & F.length("text").between(1, p.max_chars))
-    ids, _ = bounded_sample(seen, "lang", p.per_class, p.max_classes)
-    table = ids.select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").limit(2 * p.per_class * p.max_classes).toArrow()
-    return fit(as_strings(table["text"]), table["lang"].to_pylist(), p)
+    seen = seen.where((fold(F.col("doc_id"), mod) != held_out) & (F.length("text") > 0))
+    ids, _ = bounded_sample(seen, "lang", p.per_class, p.max_classes, p.max_rows)
+    rows = ids.select("doc_id", "lang", slice_of(F.col("text"), F.col("doc_id"), p.max_chars).alias("text"))
+    table = rows.orderBy("doc_id", "lang", "text").limit(2 * p.max_rows).toArrow()
+    model = fit(as_strings(table["text"]), table["lang"].to_pylist(), p)
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: LangModel, mod: int = 4, held_out: int = 2, reject: bool = False) -> DataFrame:
