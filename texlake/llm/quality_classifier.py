@@ -6,8 +6,9 @@ document is the mean of its units' vectors, besides the logarithm of its number
 that repeat the word before. Two dense layers in numpy give a logit, a temperature fitted on
 rows set aside makes it a probability.
 
-Fitted on at most ``per_class`` labelled rows of each class, of at most ``max_chars`` characters each; scoring
-reads whole texts of all rows. A null or empty text is the zero vector and gets the score of that vector. If a
+Fitted on at most ``per_class`` labelled rows of each class, of at most ``max_chars`` characters each (slices of longer
+ones, if a class has no others); scoring reads whole texts of all rows. Rows that repeat a doc_id are scored each, those
+with a null doc_id too; other columns of the table are not read. A null or empty text is the zero vector and gets the score of that vector. If a
 class has no rows, the score is the share of label 1 (0.5 without labels).
 """
 
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, bounded_sample, fold, segment_sums, text_slices, words_of
+from .common import as_strings, bounded_sample, fold, release_memory, segment_sums, slice_of, text_slices, words_of
 
 
 @dataclass
@@ -172,7 +173,37 @@ def fit_temperature(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> flo
     return best[1]
 
 
+@dataclass
+class QualityNetwork:
+    """The network as it is trained: standardised pooled vectors, two layers, a temperature."""
+
+    words: pa.Array
+    shapes: pa.Array
+    vw: np.ndarray
+    vs: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    params: list
+    temperature: float = 1.0
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.spread
+        return np.tanh(z @ self.params[0] + self.params[1]) @ self.params[2] + self.params[3]
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logit(pooled(texts, self.words, self.shapes, self.vw, self.vs)) / self.temperature))
+
+    def folded(self) -> QualityModel:
+        w1, d = self.params[0] / self.spread[:, None], self.vw.shape[1]
+        tables = (self.vw @ w1[:d]).astype(np.float32), (self.vs @ w1[d : 2 * d]).astype(np.float32)
+        return QualityModel(self.words, self.shapes, *tables, w1[2 * d :], self.params[1] - self.centre @ w1, self.params[2], float(self.params[3][0]), self.temperature)
+
+
 def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, p: QualityParams | None = None) -> QualityModel:
+    return fit_network(texts, y, weight, p).folded()
+
+
+def fit_network(texts: pa.Array, y: np.ndarray, weight: np.ndarray, p: QualityParams | None = None) -> QualityNetwork:
     """Fit on sample texts; ``weight`` undoes the sampling of classes so that probabilities match the labels' shares."""
     p = p or QualityParams()
     words, shapes, vw, vs = unit_vectors(texts, p)
@@ -200,24 +231,29 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, p: QualityParams | N
                 square[k] = 0.999 * square[k] + 0.001 * grad * grad
                 params[k] = params[k] - 0.01 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
     judged = aside if aside.any() else ~aside
-    logit = np.tanh(z @ params[0] + params[1]) @ params[2] + params[3]
-    temperature = fit_temperature(logit[judged], y[judged], weight[judged])
-    w1 = params[0] / spread[:, None]
-    d = vw.shape[1]
-    return QualityModel(
-        words, shapes, (vw @ w1[:d]).astype(np.float32), (vs @ w1[d : 2 * d]).astype(np.float32), w1[2 * d :], params[1] - centre @ w1, params[2], float(params[3][0]), temperature
-    )
+    network = QualityNetwork(words, shapes, vw, vs, centre, spread, params)
+    network.temperature = fit_temperature(network.logit(x)[judged], y[judged], weight[judged])
+    return network
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, per_class: int, max_chars: int):
-    """(texts, y, weight) of a bounded sample of the labelled rows whose fold modulo ``mod`` is not 0."""
+    """(texts, y, weight, counts) of a bounded sample of the labelled rows whose fold modulo ``mod`` is not 0.
+
+    Texts of more than ``max_chars`` characters are left out; if a class would then have no text, a slice of each long one
+    is taken.
+    """
     marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     marked = marked.where(fold(F.col("doc_id"), mod) != 0)
     ids, counts = bounded_sample(marked, "y", per_class)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy("doc_id").limit(3 * per_class)
-    texts = docs.select("doc_id", "text").where(F.length("text").between(0, max_chars))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").orderBy("doc_id", "text").limit(4 * per_class)
-    table = rows.toArrow()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+
+    def gathered(rows: DataFrame) -> pa.Table:
+        return rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").orderBy("doc_id", "text").limit(4 * per_class).toArrow()
+
+    table = gathered(texts.where(F.length("text") <= max_chars))
+    if len(set(table["y"].to_pylist())) < len(counts):
+        table = gathered(texts.select("doc_id", slice_of(F.col("text"), F.col("doc_id"), max_chars).alias("text")))
     y = np.asarray(table["y"]).astype(float)
     weight = np.ones(len(y))
     for value in (0, 1):
@@ -233,7 +269,9 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None) ->
         share = counts.get(1, 0) / max(sum(counts.values()), 1) if counts else 0.5
         none = pa.array([], pa.string())
         return QualityModel(none, none, *[np.zeros((1, 1))] * 2, np.zeros((2, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0, share)
-    return fit(texts, y, weight, p)
+    model = fit(texts, y, weight, p)
+    release_memory()
+    return model
 
 
 def score_column(model, text: Column, spark) -> Column:

@@ -22,7 +22,7 @@ of label 1 (0 without labels).
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from unicodedata import category
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import as_strings, text_slices, words_of
+from .common import as_strings, release_memory, text_slices, words_of
 from .quality_classifier import labelled_sample
 
 #: Words that report speech rather than use it, and words that address a person.
@@ -252,7 +252,6 @@ class ToxicityModel:
     beta: np.ndarray
     p: ToxicityParams
     constant: float | None = None
-    known: dict = field(default_factory=dict)
 
     def hits(self, texts: pa.Array):
         """For each text: its number of words and [(word position, word, entry, edits, context factor)]."""
@@ -381,4 +380,6 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None) -
     if len(set(y)) < 2:
         share = counts.get(1, 0) / max(sum(counts.values()), 1)
         return ToxicityModel(Lexicon([], p), {}, np.zeros(3), p, constant=share)
-    return fit(texts, y, weight, p)
+    model = fit(texts, y, weight, p)
+    release_memory()
+    return model
