@@ -1,6 +1,7 @@
 """The text functions: examples, invariants, native forms against kernels, documents, sources and streams."""
 
 import json
+import os
 import random
 import time
 
@@ -225,6 +226,74 @@ def test_sql_names(spark):
     assert tuple(row) == ("$\\text{H}_{2}\\text{O}$", "1/2", 2, None) and "tx_merge_adjacent_math" in names
 
 
+def test_sql_names_equal_columns(spark):
+    names = sql.register(spark)
+    inputs = [*ALL_INPUTS, *fuzz(41, 300), None, "", "plain words", "A) 1 / 2"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(inputs)], "k int, t string").repartition(4).cache()
+    forms = {"tx_segment": tx.segment, "tx_audit": tx.audit, "tx_contains_math": tx.contains_math, "tx_needs_fix": tx.needs_fix, "tx_fix": tx.fix, "tx_to_plain_compare": tx.compare_key}
+    forms |= {"tx_to_plain_tts": lambda c: tx.to_plain(c, "tts"), "tx_repair_read": lambda c: tx.repair(c, False), "tx_is_plain_prose": tx.is_plain_prose, "tx_is_url_or_path": tx.is_url_or_path, "tx_currency_spans": tx.currency_spans}
+    for name, f in forms.items():
+        assert name in names and df.select(F.expr(f"{name}(t)").eqNullSafe(f(F.col("t"))).alias("same")).where("not same").count() == 0, name
+    plan = spark.sql("select tx_fix(x) as y from (select cast(id as string) as x from range(3))")._jdf.queryExecution().toString()
+    assert "CASE WHEN" in plan.split("ArrowEvalPython")[1]
+
+
+def test_answers_without_notation_are_folded_in_the_jvm(spark):
+    rng = random.Random(42)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 11))) for signs in ("abXH019  ..", "abXH019 +-/=*", "abXH019  (),<>", "aH1  .):/(", "ab01 \n,") for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.compare_key("t").alias("a"), tx.to_plain("t", "tts").alias("b")).collect()
+    for r in rows:
+        assert r["a"] == plain.to_plain(r["t"], "compare") and r["b"] == plain.to_plain(r["t"], "tts"), r["t"]
+
+
+def test_audit_deep_by_the_schema_equals_the_walk(spark):
+    doc = {
+        "title": "x≤5", "user_id": "≤", "raw_text": "≤", "n": 3, "parts": [{"body": "H₂O", "url": "https://a.example/≤"}, {"body": None, "url": "α"}], "grid": [["≤", "ok"], [], None],
+        "notes": {"hint": "y≤2", "imageUrl": "≤", "prompt": "≤"}, "inner": '{"c": ["H₂O"], "id": "≤"}', "broken": "{ x≤5", "none": None,
+    }
+    kind = "title string, user_id string, raw_text string, n int, parts array<struct<body: string, url: string>>, grid array<array<string>>, notes map<string, string>, inner string, broken string, none array<string>"
+    df = spark.createDataFrame([doc], kind)
+    found = [(r["path"], r["kind"], r["position"], r["snippet"]) for r in deep.audit_deep(df).collect()]
+    assert sorted(found) == sorted((path, *f) for path, f in walk.audit_deep(doc)) and len(found) > 5
+    assert deep.audit_deep(df, ["n", "user_id"]).count() == 0 and deep.audit_deep(df, ["title"], keep=("n",)).columns == ["n", "path", "kind", "position", "snippet"]
+
+
+def test_maps_by_distinct_key(spark):
+    kind = T.StructType([T.StructField("m", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
+    rows = [({"script": ["x₁"], "transcript": ["y₂"], "body": ["x₁", None]},), ({"script": ["x₁"], "imageUrl": ["x₁"]},), ({},), (None,), ({"a": None, "b": []},)]
+    out = [r["m"] for r in deep.fix_deep(spark.createDataFrame(rows, kind).coalesce(1), narrative_keys=("script@transcript",)).collect()]
+    assert out == [{"script": ["x₁"], "transcript": ["$y_{2}$"], "body": ["$x_{1}$", None]}, {"script": ["$x_{1}$"], "imageUrl": ["x₁"]}, {}, None, {"a": None, "b": []}]
+
+
+def test_nested_rows_without_signs_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(["plain"], {"k": "words"}), (["x₁"], {"k": "plain"})], "a array<string>, m map<string, string>")
+    plan = deep.fix_deep(df)._jdf.queryExecution().toString()
+    assert plan.count("exists(") >= 2 and "CASE WHEN" in plan.split("ArrowEvalPython")[1]
+
+
+def test_named_injectors(spark):
+    row = spark.range(1).select(F.lit("Write.").alias("p"))
+    for inject in (tx.inject_latex_rules, tx.inject_narrative_prose_rules, tx.inject_plain_notation_rules):
+        once = row.select(inject("p").alias("p"))
+        assert once.select(inject("p").alias("q")).first()["q"] == once.first()["p"] and once.select(tx.has_formatting_contract("p").alias("h")).first()["h"]
+        assert row.select(inject("p", "MARK\nrules").alias("q")).first()["q"] == "MARK\nrules\n\nWrite."
+    assert not row.select(tx.has_formatting_contract("p").alias("h")).first()["h"]
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/texlake", tmp_path / "texlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "texlake/llm/__pycache__").mkdir(parents=True)  # what a deleted package may leave behind
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=False)
+    assert said.stdout.split()[-1:] == ["False"] and int(said.stdout.split()[-2]) > 90, said.stderr
+
+
 def test_inject_block(spark):
     rows = spark.createDataFrame([("Say hi.",), (None,)], "p string").select(tx.inject_block(F.col("p"), "# Rules\nx").alias("p"))
     assert [r["p"] for r in rows.collect()] == ["# Rules\nx\n\nSay hi.", None]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..kernels import adapters, display, encoding, findings, fixing, mend, options, plain, symbols, tokens, transport, write
 from ..plans import gates
 from ..plans.kernels import gated, kernel
-from ..tables import FILE_EXTENSIONS, HOMOGLYPHS, KNOWN_COMMANDS, NON_CONTENT_KEYS, NON_CONTENT_SUFFIXES, URL_PREFIXES
+from ..tables import FILE_EXTENSIONS, HOMOGLYPHS, KNOWN_COMMANDS, NON_CONTENT_KEYS, NON_CONTENT_SUFFIXES, NOT_RENDERED_KEYS, URL_PREFIXES
 
 SEGMENT = "struct<kind string, display boolean, value string, raw string>"
 FINDING = "struct<kind string, position int, snippet string>"
@@ -222,12 +222,19 @@ def _greek_word(text, k):
 def to_plain(c, style: str = "text") -> Column:
     if style not in plain.STYLES:
         raise ValueError(f"style {style!r} is none of {plain.STYLES}")
-    return gated(_col(c), partial(plain.to_plain, style=style), gates.plain if style in ("text", "pdf") else gates.always)
+    if style == "compare":
+        return compare_key(c)
+    return gated(_col(c), partial(plain.to_plain, style=style), gates.spoken if style == "tts" else gates.plain)
 
 
 def compare_key(c) -> Column:
-    """Two answers are equal if and only if their keys are."""
-    return to_plain(c, "compare")
+    """Two answers are equal if and only if their keys are. Answers without notation are folded in the JVM."""
+    c = _col(c)
+    return F.when(gates.answer(c), kernel(partial(plain.to_plain, style="compare"))(F.when(gates.answer(c), c))).otherwise(folded_answer(c))
+
+
+def folded_answer(c: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(c, " +", " ")), " ?([-+*/=<>(),]) ?", "$1")
 
 
 def _findings(text):
@@ -315,6 +322,11 @@ def is_non_content_key(c) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def is_not_rendered_key(c) -> Column:
+    k = F.lower(_col(c))
+    return F.coalesce(k.isin(sorted(NOT_RENDERED_KEYS)) | k.endswith("_raw") | k.startswith("raw_"), F.lit(False))
+
+
 def has_block(c, *blocks: str) -> Column:
     """Whether the first line of one of the blocks is in the text."""
     out = F.lit(False)
@@ -329,6 +341,32 @@ def inject_block(c, block: str) -> Column:
     return F.when(has_block(c, block), c).otherwise(F.concat(F.lit(block + "\n\n"), c))
 
 
+#: First lines of the blocks that the named injectors write, unless a caller gives blocks of its own.
+LATEX_RULES = "=== FORMATTING RULES: FORMULAS ===\nWrite every formula as LaTeX between dollars, and an amount of dollars with an escaped one."
+NARRATIVE_RULES = "=== FORMATTING RULES: READ ALOUD ===\nWrite plain prose that can be read aloud, with formulas in words and without any markup."
+PLAIN_RULES = "=== FORMATTING RULES: PLAIN NOTATION ===\nWrite formulas in plain Unicode characters, without dollars, commands or markup."
+
+
+def inject_latex_rules(c, block: str = LATEX_RULES) -> Column:
+    """Rules for text that is typeset, before a prompt; once only."""
+    return inject_block(c, block)
+
+
+def inject_narrative_prose_rules(c, block: str = NARRATIVE_RULES) -> Column:
+    """Rules for text that is spoken, before a prompt; once only."""
+    return inject_block(c, block)
+
+
+def inject_plain_notation_rules(c, block: str = PLAIN_RULES) -> Column:
+    """Rules for text that is shown without typesetting, before a prompt; once only."""
+    return inject_block(c, block)
+
+
+def has_formatting_contract(c, *blocks: str) -> Column:
+    """Whether a prompt holds one of the three blocks, or of those that are given instead."""
+    return has_block(c, *(blocks or (LATEX_RULES, NARRATIVE_RULES, PLAIN_RULES)))
+
+
 def narrative_field_exemption(*fields: str) -> str:
     """A clause that exempts the named fields of a model's answer from formatting rules."""
     return "These fields are read aloud and hold plain prose without markup: " + ", ".join(fields) + "." if fields else ""

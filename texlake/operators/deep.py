@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from ..kernels import walk
 from ..kernels.fixing import fix
 from ..kernels.mend import repair
 from ..kernels.write import canonicalize
+from ..plans import gates
 from ..plans.kernels import each_distinct, kernel
 
 PATH_FINDING = "struct<path string, kind string, position int, snippet string>"
@@ -68,15 +70,55 @@ def rewrite_array(values: pa.Array, f: Callable, key: str, narrative: tuple, eve
 
 
 def _rewrite_map(values: pa.Array, f: Callable, narrative: tuple, every: bool) -> pa.Array:
-    """Keys are data here, so each distinct key decides about its values."""
-    rows = values.to_pylist()
+    """Keys are data here: the values of each distinct key are rewritten at once, by what the key says."""
+    values = pa.concat_arrays([values]) if values.offset else values
+    low, high = (values.offsets[0].as_py(), values.offsets[-1].as_py()) if len(values.offsets) else (0, 0)
+    keys, items = values.keys.slice(low, high - low), values.items.slice(low, high - low)
+    row = np.repeat(np.arange(len(values)), np.diff(np.asarray(values.offsets)))
+    encoded = keys.dictionary_encode()
+    of, names = np.asarray(encoded.indices), encoded.dictionary.to_pylist()
+    beside = {s: np.isin(row, row[of == k]) for k, s in enumerate(names) if any(e.endswith(f"@{s}") for e in narrative)}
+    parts, places = [], []
+
+    def rewritten(at: np.ndarray, apply: Callable, key: str, whole: bool) -> None:
+        if len(at):
+            parts.append(rewrite_array(items.take(pa.array(at)), apply, key, narrative, whole).cast(items.type))
+            places.append(at)
+
+    for k, name in enumerate(names):
+        spoken = np.full(len(of), every)
+        for entry in narrative:
+            key, _, sibling = entry.partition("@")
+            if key == name:
+                spoken |= beside.get(sibling, False) if sibling else True
+        rewritten(np.flatnonzero((of == k) & spoken), repair, name, True)
+        rewritten(np.flatnonzero((of == k) & ~spoken), f, name, False)
+    if parts:
+        items = pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places))))
+    offsets = pa.array(np.asarray(values.offsets) - low, pa.int32())
+    return pa.MapArray.from_arrays(offsets, keys, items, type=values.type, mask=pc.is_null(values))
+
+
+def _any_text(c: Column, kind: T.DataType, holds: Callable[[Column], Column]) -> Column:
+    """Whether ``holds`` does for a string anywhere in a value; what no string is in is false."""
+    match kind:
+        case T.StringType():
+            return F.coalesce(holds(c), F.lit(False))
+        case T.ArrayType():
+            return F.coalesce(F.exists(c, lambda x: _any_text(x, kind.elementType, holds)), F.lit(False))
+        case T.MapType():
+            return F.coalesce(F.exists(F.map_values(c), lambda x: _any_text(x, kind.valueType, holds)), F.lit(False))
+        case T.StructType():
+            out = F.lit(False)
+            for field in kind.fields:
+                if _has_text(field.dataType):
+                    out = out | _any_text(c[field.name], field.dataType, holds)
+            return out
+    return F.lit(False)
 
-    def item(key, value, keys):
-        if every or walk.is_narrative_key(key, keys, narrative):
-            return walk.repair_deep(value)
-        return walk.rewrite(value, f, key, narrative)
 
-    return pa.array([None if r is None else [(k, item(k, v, [x[0] for x in r])) for k, v in r] for r in rows], values.type)
+def _has_text(kind: T.DataType) -> bool:
+    return has_content(kind, "", every=True)
 
 
 def _rewrite_columns(df: DataFrame, f: Callable, gate, cols, narrative: tuple, every: bool = False) -> DataFrame:
@@ -97,7 +139,9 @@ def _rewrite_columns(df: DataFrame, f: Callable, gate, cols, narrative: tuple, e
                 out[field.name] = F.coalesce(gate(F.when(~tx.is_url_or_path(c), c)), c)
             continue
         run = partial(_run, f=apply, key=field.name, narrative=narrative, every=every or spoken)
-        out[field.name] = _nested(run, field.dataType)(c)
+        # rows without a string that the functions may change stay in the JVM
+        touched = _any_text(c, field.dataType, gates.repair if every or spoken else gates.fix)
+        out[field.name] = F.when(touched, _nested(run, field.dataType)(F.when(touched, c))).otherwise(c)
     return df.withColumns(out) if out else df
 
 
@@ -184,9 +228,55 @@ def audit_json(c) -> Column:
     return F.coalesce(found, F.array().cast(f"array<{PATH_FINDING}>"))
 
 
+LEAVES = "array<struct<path string, text string>>"
+
+
+def _or_none(leaves: Column | None) -> Column:
+    return F.array().cast(LEAVES) if leaves is None else leaves
+
+
+def _string_leaves(c: Column, kind: T.DataType, key, path: Column) -> Column | None:
+    """The rendered strings of a value with their paths, as an array of (path, text); None where there can be none.
+
+    ``key`` is a name where the schema says it, a column where a map does.
+    """
+    match kind:
+        case T.StringType():
+            if isinstance(key, str) and (walk.is_non_content_key(key) or walk.is_not_rendered_key(key)):
+                return None
+            rendered = c.isNotNull() & ~tx.is_url_or_path(c)
+            if not isinstance(key, str):
+                rendered = rendered & ~tx.is_non_content_key(key) & ~tx.is_not_rendered_key(key)
+            return F.when(rendered, F.array(F.struct(path.alias("path"), c.alias("text")))).otherwise(_or_none(None))
+        case T.ArrayType() if _has_text(kind):
+            item = lambda x, i: _or_none(_string_leaves(x, kind.elementType, key, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+            return F.coalesce(F.flatten(F.transform(c, item)), _or_none(None))
+        case T.MapType() if _has_text(kind):
+            name = lambda e: e["key"].cast("string")
+            entry = lambda e: _or_none(_string_leaves(e["value"], kind.valueType, name(e), F.concat(path, F.lit("."), name(e))))
+            return F.coalesce(F.flatten(F.transform(F.map_entries(c), entry)), _or_none(None))
+        case T.StructType():
+            found = [_string_leaves(c[f.name], f.dataType, f.name, F.concat(path, F.lit("." + f.name))) for f in kind.fields]
+            found = [x for x in found if x is not None]
+            return F.coalesce(F.concat(*found), _or_none(None)) if found else None
+    return None
+
+
+def _audit_leaf(text):
+    """Findings in a string, or in the strings of the JSON document that it is."""
+    return None if text is None else [{"path": path, **f._asdict()} for path, f in walk.audit_deep(text)]
+
+
 def audit_deep(df: DataFrame, cols=None, keep=()) -> DataFrame:
-    """A row a finding: the ``keep`` columns, then path, kind, position, snippet."""
-    chosen = [n for n in (cols or df.columns)]
-    node = F.to_json(F.struct(*[F.col(f"`{n}`") for n in chosen]))
-    rows = df.select(*keep, F.explode(audit_json(node)).alias("_f"))
-    return rows.select(*keep, "_f.path", "_f.kind", "_f.position", "_f.snippet")
+    """A row a finding: the ``keep`` columns, then path, kind, position, snippet.
+
+    The schema says where strings may be; they are listed with their paths in the JVM, and only those that an audit
+    looks into, or that may be JSON documents, go to Python.
+    """
+    fields = [df.schema[n] for n in (cols or df.columns)]
+    found = [_string_leaves(F.col(f"`{f.name}`"), f.dataType, f.name, F.lit(f.name)) for f in fields]
+    found = [x for x in found if x is not None]
+    leaves = F.concat(*found) if found else _or_none(None)
+    rows = df.select(*keep, F.explode(leaves).alias("_leaf")).where(gates.document(F.col("_leaf.text")))
+    rows = rows.select(*keep, "_leaf.path", F.explode(kernel(_audit_leaf, f"array<{PATH_FINDING}>")(F.col("_leaf.text"))).alias("_f"))
+    return rows.select(*keep, F.concat("path", "_f.path").alias("path"), "_f.kind", "_f.position", "_f.snippet")

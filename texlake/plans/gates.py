@@ -46,7 +46,7 @@ def _other_than_letters(needed) -> str:
 
 
 MATH_SIGNS = _other_than_letters([*UNICODE_MATH, *HOMOGLYPHS, "\u20d7"])
-AUDITED = f"[\\\\${{\\x{{fffd}}âÂÃÎÏ]|{MATH_SIGNS}"
+AUDITED = f"[\\\\{{\\x{{fffd}}âÂÃÎÏ$]|{MATH_SIGNS}"  # no brace behind the dollar: SQL would read a variable
 
 
 def _misread(c: Column) -> Column:
@@ -93,5 +93,18 @@ def backslash(c: Column) -> Column:
     return c.contains("\\")
 
 
-def always(c: Column) -> Column:
-    return c.isNotNull()
+#: Answers that the fold for comparison reads without any notation: only blanks around operators go.
+_ANSWER, _LABEL = r"[^A-Za-z0-9 +/=,.()<>*-]", r"^ *\(?[A-Ha-h][).:] "
+
+
+def answer(c: Column) -> Column:
+    return c.rlike(_ANSWER) | c.rlike(_LABEL)
+
+
+def spoken(c: Column) -> Column:
+    return c.rlike(r"[^A-Za-z0-9 .,!?'():;/=+-]|  |^ | $")
+
+
+def document(c: Column) -> Column:
+    """Texts that ``audit`` looks into, and those that may be JSON documents."""
+    return audit(c) | c.rlike(r"^\s*[\[{]")
