@@ -263,6 +263,33 @@ def test_packing_odd_and_empty(spark, odd, empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
+def test_packing_repeated_and_null_ids(spark, odd):
+    rows = packing.pack(odd, PATH).collect()
+    text_of = {i: t for i, t, *_ in ODD}
+    sequences, tokens = {}, {}
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        tokens.setdefault(r["doc_id"], []).append((r["start"], ids.tolist(), r["doc_tokens"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    for i, pieces in tokens.items():
+        want = [*tokenizer.encode(text_of[i] or "", add_special_tokens=False).ids, 1]
+        copies = sum(x[0] == i for x in ODD)
+        assert {n for _, _, n in pieces} == {len(want)} and sum(len(ids) for _, ids, _ in pieces) == copies * len(want)
+        assert all(ids == want[start : start + len(ids)] for start, ids, _ in pieces)
+    assert set(tokens) == {i for i, *_ in ODD}
+    assert not packing.in_order({"vocab": {"a": 0, "b": 1, "ab": 3, "ba": 2}, "merges": [["a", "b"], ["b", "a"]]})
+
+
 # --- 4: chat --------------------------------------------------------------------------------------------------------
 
 
@@ -282,6 +309,18 @@ def test_chat_round_trip(spark):
     assert chat.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_tied_turns_long_texts_null_ids_and_clashing_columns(spark):
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, None, "assistant", "first"), (2, 1, "assistant", "x<|" * 400_000), (None, 1, "user", "no name"), (None, 2, "assistant", "")]
+    kind = "conv_id long, turn long, role string, text string"
+    turns = spark.createDataFrame(rows, kind).withColumns({"piece": F.lit(7), "loss": F.lit("x"), "formatted_chars": F.lit(None)})
+    out = {r["conv_id"]: r for r in chat.digests(turns.repartition(3)).collect()}
+    texts = {1: [("assistant", "first"), ("user", "a"), ("user", "a"), ("user", "b")], 2: [("assistant", "x<|" * 400_000)], None: [("user", "no name"), ("assistant", "")]}
+    for c, mine in texts.items():
+        assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+        assert out[c]["loss_sha256"] == hashlib.sha256("".join(t for r, t in mine if r == "assistant").encode()).hexdigest() and out[c]["n_turns"] == len(mine)
+    assert len(out) == 3
+
+
 # --- 5: urls --------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from texlake.llm import queries
+from texlake.llm import near_dedup, queries
 
 from .test_operators import DOCS, brute_similarity, edited, prose
 
@@ -57,6 +57,22 @@ def test_run(spark, folder):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    odd = [(1, None, None, None), (2, "", "en", "a"), (3, "   \n\t ", "en", None), (4, "x" * 70_000, "en", "a"), (5, "same words here and there again", "en", "b"), (5, "same words here and there again", "en", "b"), (None, "no name", "en", "b")]
+    rows = [(i, t, lang, source, None if t is None else len(t)) for i, t, lang, source in odd]
+    for name, some in (("odd", rows), ("empty", [])):
+        docs = spark.createDataFrame(some, DOCS).withColumns({c: F.lit("mine") for c in ("score", "row", "position", "size", "class_id", "h1", "f", "taken")})
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(4, None, 0), (None, 1, 1)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            out = function(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns, stage
+            assert out.count() <= (2 if stage == "mixing" else 1) * len(some)
+        assert near_dedup.keep_one(docs).count() == max(len(some) - 1, 0)
+        assert (corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() > 0) == bool(some)
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names

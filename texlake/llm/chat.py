@@ -10,6 +10,10 @@ turn (then the piece itself). The loss mask covers the contents of assistant tur
 
 ``digests`` reads the formatted pieces of each conversation back in order, as a stream, with running hashes:
 a conversation of any length takes the memory of one batch. A null role or text counts as empty.
+
+Turns with the same number come in the order of their formatted pieces; rows that repeat are turns each; a null turn
+comes first. Rows with a null conv_id make one conversation. Other columns are not read, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

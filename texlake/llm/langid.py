@@ -6,9 +6,11 @@ descent in numpy, one document a step. A temperature fitted on rows set aside ca
 and ``reject_below`` is the least calibrated probability at which a set share of the accepted rows aside is
 right; ``predict`` answers ``und`` below it when asked to reject.
 
-Fitted on at most ``per_class`` documents of each language, of at most ``max_chars`` characters; prediction
+Fitted on at most ``per_class`` documents of each language (fewer, if all of them would be more than ``max_rows``), on
+slices of ``max_chars`` characters of longer ones, and on the ``max_classes`` most frequent languages at most; prediction
 reads whole texts. A text that is null or holds no letter is ``und`` with score 0. Without any training row
-all texts are ``und``.
+all texts are ``und``. Of equally probable languages the first by name is taken. Rows that repeat an id or a whole row, and
+those with a null id, are judged each. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

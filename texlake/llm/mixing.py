@@ -13,7 +13,9 @@ target is reached is taken in part, so taken words meet the rounded target exact
 
 Running sums inside a source go in two steps (sums of ``slots`` hash ranges, then within a range), so a hot
 source is spread over as many tasks as it has ranges. A null text has size 0; a null source comes last; a
-source of size 0 takes nothing. Repeated rows count each; equal rows may swap places, which changes no row.
+source of size 0 takes nothing. Repeated rows count each; equal rows may swap places, which changes no row. The table of
+sources, a row each, is ordered in one task; it has no text, so millions of sources are some hundred MB there at most.
+Extra columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,6 +11,10 @@ next block; a task's last one is cut into windows whose lengths are powers of tw
 A task packs its own documents, block by block, so there is no shuffle, memory is that of a block
 (``block_tokens``) whatever the partition, and a task that is run again gives a complete result of its own.
 Sequence ids hold the partition's number, so they are unique. A null or empty text is its end id alone.
+
+Rows are packed in the order in which a task reads them. Each row is a document, also one that repeats a doc_id or a whole
+row, and one whose doc_id is null (its pieces then have a null doc_id and are told apart by their places). Other columns
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,13 +61,21 @@ def byte_signs() -> dict[str, int]:
     return signs
 
 
+def in_order(model: dict) -> bool:
+    """Whether the merges come in the order of the ids that they make."""
+    pairs = (x.split(" ") if isinstance(x, str) else x for x in model.get("merges", []))
+    made = [model["vocab"]["".join(pair)] for pair in pairs]
+    return all(a < b for a, b in zip(made, made[1:], strict=False))
+
+
 class WordTokenizer:
     """Ids of whole texts by a byte-level BPE tokenizer file, each distinct word being encoded once.
 
     Such a tokenizer splits a text in front of every single space that stands between words, and its merges do
     not cross splits; so a text's ids are those of the pieces between its spaces. Texts with a space beside
     other white space, or with a special token, are encoded as a whole. Words are merged by a second
-    library from the same file's vocabulary, where it gives the same ids as ``tokenizers`` on a probe.
+    library from the same file's vocabulary: it merges in the order of ids, so the file's merges must come in that
+    order, and it must give the same ids as ``tokenizers`` on a probe that holds every 16th word of the vocabulary.
     """
 
     def __init__(self, path: str):
@@ -79,7 +91,8 @@ class WordTokenizer:
 
             ranks = {bytes(signs[ch] for ch in w): i for w, i in vocabulary.items()}
             merger = tiktoken.Encoding("from-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            if merger.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+            probe = PROBE + " ".join(raw.decode(errors="ignore") for raw in list(ranks)[::16])
+            if in_order(kept["model"]) and merger.encode_ordinary(probe) == self.tokenizer.encode(probe, add_special_tokens=False).ids:
                 self.merger = merger
                 self.byte_length = np.zeros(max(ranks.values()) + 1, np.int64)
                 for raw, i in ranks.items():

@@ -10,6 +10,9 @@ never the verdict (a row is kept if no rule rejects it).
 Words are runs of characters other than space and U+0009 to U+000D. A null or empty text has no words. Counting
 words in repeated 3-word windows sorts the windows of a text only if some window repeats, so its cost grows as
 n log n with the number of words.
+
+Each row is judged on its own: rows that repeat an id or a whole row come back each, ids may be null. Other columns are
+not read, whatever their names. An empty table gives no rows, and leaves the rules in their order.
 """
 
 from __future__ import annotations

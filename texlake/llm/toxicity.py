@@ -16,7 +16,8 @@ makes them a probability. A weight is itself a probability: an exact hit of an e
 gives the document its weight at least, so one such hit decides at any length; a quoted or reported one does not.
 
 Whole texts are read. A null or empty text has no hit. Without labels of both classes the score is the share
-of label 1 (0 without labels).
+of label 1 (0 without labels). Of entries at equal distance the first in the lexicon is taken. Rows that repeat an id or a
+whole row, and those with a null id, are scored each; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
