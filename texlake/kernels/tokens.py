@@ -123,18 +123,25 @@ def _span(text: str, i: int, sign: str, close: int) -> Span | None:
 
 
 def segment(text: str | None) -> list[Segment]:
-    if not text:
-        return []
+    return list(_segments(text)) if text else []
+
+
+@lru_cache(maxsize=16)
+def _segments(text: str) -> tuple[Segment, ...]:
     out, begun = [], 0
-    for span in (*spans(text), None):
-        start = span.start if span else len(text)
+    for start, first, last, end, display in spans(text):
         if start > begun:
-            out.append(Segment("text", False, _unescape_dollars(text[begun:start]), text[begun:start]))
-        if span:
-            value = text[span.first : span.last]
-            out.append(Segment("math", span.display, value.strip() if text.startswith("\\(", start) else value, text[start : span.end]))
-            begun = span.end
-    return out
+            out.append(_prose(text[begun:start]))
+        value = text[first:last]
+        out.append(Segment("math", display, value.strip() if text.startswith("\\(", start) else value, text[start:end]))
+        begun = end
+    if begun < len(text):
+        out.append(_prose(text[begun:]))
+    return tuple(out)
+
+
+def _prose(raw: str) -> Segment:
+    return Segment("text", False, _unescape_dollars(raw), raw)
 
 
 def _unescape_dollars(raw: str) -> str:
