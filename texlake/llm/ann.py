@@ -209,7 +209,14 @@ def ranked(pairs: DataFrame, rows: DataFrame, p: AnnParams) -> DataFrame:
 
     @F.arrow_udf("double")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([float(np.sqrt(((np.asarray(x.values) - np.asarray(y.values)) ** 2).sum())) for x, y in zip(a, b, strict=True)], pa.float64())
+        x, y = (np.asarray(v.flatten()) for v in (a, b))  # the vectors of a pair are of one length
+        sizes = np.asarray(pc.list_value_length(a)).astype(np.int64)
+        out, ends = np.zeros(len(a)), np.cumsum(sizes)
+        for width in np.unique(sizes):
+            at = np.flatnonzero(sizes == width)
+            places = (ends[at] - width)[:, None] + np.arange(width)
+            out[at] = np.sqrt(((x[places] - y[places]) ** 2).sum(1))
+        return pa.array(out, pa.float64())
 
     scored = pairs.join(base, "row").join(asked, "query_row").select("query_row", "query_id", "row", "vec_id", distance("bv", "qv").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row"))
