@@ -44,8 +44,8 @@ class AnnParams:
     target_recall: float = 0.97
     probe_queries: int = 300
     min_probe: int = 8
-    subspaces: int = 16
-    codes: int = 64
+    subspaces: int = 32
+    codes: int = 128
     per_list: int = 64
     rerank: int = 300
     block: int = 4096
@@ -108,7 +108,8 @@ def fit_index(x: np.ndarray, rows: int, p: AnnParams) -> AnnIndex:
     centres = kmeans(x, lists, p.iterations, rng)
     index = AnnIndex(centres, [], p)
     residuals = x - centres[index.cells(x)]
-    parts = np.array_split(residuals, min(p.subspaces, x.shape[1]), axis=1)
+    some = residuals[np.sort(rng.choice(len(residuals), min(len(residuals), 48 * p.codes), replace=False))]
+    parts = np.array_split(some, min(p.subspaces, x.shape[1]), axis=1)
     index.books = [kmeans(part, p.codes, p.iterations, rng) for part in parts]
     index.probe = lists_needed(x, index, rng)
     return index
