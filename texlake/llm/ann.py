@@ -6,9 +6,10 @@ neighbours within the sample. The sample has ``fit_rows`` vectors, or 16 for eac
 lists grows with the root of the rows, up to ``max_lists`` (beyond some four million rows lists get longer). Every vector
 is put once in the list of its nearest centroid, as the codes of its residual.
 
-A query scans the codes of the nearest lists by an asymmetric table (its own residual against the codebook). The
-``per_list`` nearest of each block of a list, and of these the ``rerank`` nearest of all lists, are ranked exactly, in double
-precision, on the original vectors, which only these survivors are joined to. A query that finds fewer than ``k`` visits
+A query scans the codes of the nearest lists by an asymmetric table (its own residual against the codebook). Of each block
+of a list it takes the ``per_list`` nearest, fewer the further down the list stands among those that it visits (so what it
+takes in all grows with the logarithm of their number); of these the ``rerank`` nearest of all lists are ranked exactly, in
+double precision, on the original vectors, which only these survivors are joined to. A query that finds fewer than ``k`` visits
 four times as many lists, until it has them or has read every list.
 
 A list is dealt in blocks of at most about ``block`` vectors and its queries in groups of about ``query_group``, so
@@ -81,6 +82,10 @@ class AnnIndex:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([squared(part, self.centres).argmin(1) for part in np.array_split(x, max(1, len(x) // 4096))])
 
+    def share(self, place: int) -> int:
+        """How many of a list are taken, by the list's place among those that a query visits."""
+        return max(2, math.ceil(self.p.per_list / (1 + place / 4)))
+
     def nearest_cells(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
         """The lists from the ``first`` nearest to before the ``last`` one."""
         return np.argsort(squared(x, self.centres), axis=1, kind="stable")[:, first:last]
@@ -233,8 +238,8 @@ def dealt(base: DataFrame, asked: DataFrame, p: AnnParams) -> DataFrame:
     blocks = F.broadcast(shared_checkpoint(base.groupBy("cell").agg(F.ceil(F.count("*") / p.block).alias("blocks")).join(groups, "cell")))  # a row a list, or a length
     spread = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), n)
     fan = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = base.join(blocks, "cell").select("cell", spread(F.col("blocks"), 1).alias("b"), fan(F.col("groups")).alias("g"), F.lit(False).alias("asks"), "row", "vec_id", "codes", "v")
-    return left.union(asked.join(blocks, "cell").select("cell", fan(F.col("blocks")).alias("b"), spread(F.col("groups"), 2).alias("g"), F.lit(True).alias("asks"), "row", "vec_id", "codes", "v"))
+    left = base.join(blocks, "cell").select("cell", spread(F.col("blocks"), 1).alias("b"), fan(F.col("groups")).alias("g"), F.lit(False).alias("asks"), F.lit(0).alias("place"), "row", "vec_id", "codes", "v")
+    return left.union(asked.join(blocks, "cell").select("cell", fan(F.col("blocks")).alias("b"), spread(F.col("groups"), 2).alias("g"), F.lit(True).alias("asks"), "place", "row", "vec_id", "codes", "v"))
 
 
 def halves(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -249,13 +254,13 @@ def pairs_table(found: list) -> pa.Table:
     return pa.table({"query_row": flat(0, np.int64), "query_id": flat(1, np.int64), "row": flat(2, np.int64), "vec_id": flat(3, np.int64), "near": flat(4, np.float64)})
 
 
-def nearest_of(queries: pa.Table, base: pa.Table, distances, most: int) -> pa.Table:
-    """The ``most`` nearest candidates of each query; ``distances(k)`` are those of the k-th query to all of them."""
+def nearest_of(queries: pa.Table, base: pa.Table, distances, most) -> pa.Table:
+    """The nearest candidates of each query, ``most(place)`` of them; ``distances(k)`` are those of the k-th query to all."""
     rows, ids, found = np.asarray(base["row"]), np.asarray(base["vec_id"]), []
-    for k, (own, q) in enumerate(zip(queries["row"].to_pylist(), queries["vec_id"].to_pylist(), strict=True)):
+    for k, (own, q, place) in enumerate(zip(*(queries[c].to_pylist() for c in ("row", "vec_id", "place")), strict=True)):
         near = distances(k)
         near[rows == own] = np.inf
-        at = np.argsort(near, kind="stable")[:most]  # of equal ones the smaller ids come first
+        at = np.argsort(near, kind="stable")[: most(place)]  # of equal ones the smaller ids come first
         at = at[np.isfinite(near[at])]
         found.append((np.full(len(at), own), np.full(len(at), q), rows[at], ids[at], near[at]))
     return pairs_table(found)
@@ -277,10 +282,11 @@ def visited(asked: DataFrame, codes: DataFrame, sent, first: int, last: int, p:
             return pairs_table([])
         ann, own, x = sent.value, table["cell"][0].as_py(), matrix(queries["v"])
         kept = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(len(base), -1)
-        return nearest_of(queries, base, lambda k: ann.approximate(x[k], own, kept), p.per_list)
+        return nearest_of(queries, base, lambda k: ann.approximate(x[k], own, kept), ann.share)
 
     stored = codes.withColumn("v", F.lit(None).cast("array<double>"))
-    visits = shared_checkpoint(asked.select("row", "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.explode(cells("v")).alias("cell")))
+    visits = shared_checkpoint(asked.select("row", "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.posexplode(cells("v")).alias("at", "cell")))
+    visits = visits.withColumn("place", F.col("at") + first)
     return dealt(stored, visits, p).groupBy("cell", "b", "g").applyInArrow(scan, NEAR)
 
 
@@ -292,7 +298,7 @@ def scanned(base: DataFrame, asked: DataFrame, p: AnnParams) -> DataFrame:
         if not len(queries) or not len(others):
             return pairs_table([])
         x, y = matrix(queries["v"]), matrix(others["v"])
-        return nearest_of(queries, others, lambda k: np.sqrt(((y - x[k]) ** 2).sum(1)), p.k)
+        return nearest_of(queries, others, lambda k: np.sqrt(((y - x[k]) ** 2).sum(1)), lambda place: p.k)
 
-    of = lambda rows: rows.select("row", "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.size("v").alias("cell"))
+    of = lambda rows: rows.select("row", "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.size("v").alias("cell"), F.lit(0).alias("place"))
     return dealt(of(base), of(asked), p).groupBy("cell", "b", "g").applyInArrow(scan, NEAR).select("query_row", "query_id", "row", "vec_id")
