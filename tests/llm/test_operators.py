@@ -494,6 +494,36 @@ def test_near_duplicates_against_brute_force(spark, crowd):
     assert near_dedup.keep_one(docs, p).count() == len({root(i) for i in range(len(texts))})
 
 
+def test_near_duplicates_move_little_of_large_groups(spark):
+    rng = random.Random(8)
+    base = prose(rng, 1500).split()
+    texts = []
+    for i in range(30):
+        words = list(base)
+        for _ in range(i):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    texts += [prose(rng, 40), None, "Ümläut \U0001d54f words"]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    p = near_dedup.DedupParams()
+    c = near_dedup.classes_of(docs, p)
+    seqs = near_dedup.sequence_table(docs, c.classes.select("node", "doc_id", "h1", "h2"), c, p)
+    nodes = {r["doc_id"]: r["node"] for r in c.classes.collect()}
+    sent = {r["node"]: bytes(r["seq"]) for r in seqs.collect()}
+    assert len(sent) == len(nodes) == 32
+    for i, node in nodes.items():
+        want = next(near_dedup.sequences(pa.array([texts[i]]), p.k))
+        assert (next(near_dedup.unpack(pa.array([sent[node]], pa.binary()), p.k)) == want).all()
+    assert sum(len(sent[nodes[i]]) for i in range(30)) < 0.6 * sum(len(texts[i]) for i in range(30))
+    slices = list(near_dedup.runs(pa.array(list(sent.values()), pa.binary()), limit=1000))
+    assert [k for s in slices for k in range(s.start, s.stop)] == list(range(32))
+    # the smallest partner of 3 is unlike it and goes first; the pair behind it must still be compared
+    own = spark.createDataFrame([(-1 if i == 30 else i, sent[node]) for i, node in nodes.items()], "node long, seq binary")
+    for pairs in ([(-1, 3), (1, 3)], [(-1, 3), (1, 3), (1, 2), (2, 3), (-1, 32)]):
+        found = near_dedup.linked(spark.createDataFrame(pairs * 2, "a long, b long"), own, p).toDF("node", "component").collect()
+        assert dict(found) == dict.fromkeys({b for _, b in pairs} - {32} | {1}, 1)
+
+
 def test_near_duplicates_odd_and_empty(spark, odd, empty):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ODD) and sum(r["kept"] for r in out) == len(ODD) - 1

@@ -29,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, hash_strings, mix64, shared_checkpoint, text_slices, words_of
+from .common import SLICE_BYTES, as_strings, hash_strings, mix64, shared_checkpoint, text_slices, words_of
 from .components import connected_components
 
 
@@ -189,58 +190,79 @@ def split_by_id(wanted: DataFrame, c: Classes) -> tuple[DataFrame, DataFrame | N
     return wanted.join(many, same, "left_anti"), wanted.join(many, same, "left_semi")
 
 
-def fingerprints(p: DedupParams, with_sequence: bool):
-    """A column function of text: struct (h1, h2, n_kmers, and the packed sequence if it is asked for)."""
-    kind = "struct<h1:bigint,h2:bigint,n_kmers:int" + (",seq:binary>" if with_sequence else ">")
+def fingerprints(p: DedupParams):
+    """A column function of text: struct (h1, h2, n_kmers)."""
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<h1:bigint,h2:bigint,n_kmers:int>")
     def of(texts: pa.Array) -> pa.Array:
-        h1, h2, n, packed = [], [], [], []
-        for seq in sequences(as_strings(texts), p.k):
-            a, b = fingerprint(seq)
-            h1.append(a)
-            h2.append(b)
-            n.append(len(seq))
-            packed.append(seq.tobytes() if with_sequence else None)
-        fields = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32())] + [pa.array(packed, pa.binary())] * with_sequence
-        return pa.StructArray.from_arrays(fields, ["h1", "h2", "n_kmers", "seq"][: len(fields)])
+        found = [(*fingerprint(seq), len(seq)) for seq in sequences(as_strings(texts), p.k)]
+        h1, h2, n = zip(*found, strict=True) if found else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32())], ["h1", "h2", "n_kmers"])
 
     return of
 
 
+def packed(text) -> Column:
+    """A text column compressed, behind its length in bytes: a fraction of the bytes of its k-mer hashes, which no codec shortens."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        codec, out = pa.Codec("zstd"), []
+        for _, part in text_slices(as_strings(texts)):
+            out += [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in part.cast(pa.binary()).to_pylist()]
+        return pa.array(out, pa.binary())
+
+    return pack(text)
+
+
+def runs(*columns: pa.Array, limit: int = SLICE_BYTES):
+    """Slices of the rows of ``columns`` of packed texts, of about ``limit`` unpacked bytes each (a single longer row: alone)."""
+    ends = np.cumsum(sum(np.frombuffer(b"".join(pc.binary_slice(c, 0, 8).to_pylist()), "<i8") for c in columns))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def unpack(column: pa.Array, k: int):
+    """The labelled k-mer hashes of each packed text."""
+    codec = pa.Codec("zstd")
+    for at in runs(column):
+        texts = [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column[at].to_pylist()]
+        yield from sequences(pa.array(texts, pa.binary()).view(pa.string()), k)
+
+
 def sequence_table(docs: DataFrame, wanted: DataFrame, c: Classes, p: DedupParams) -> DataFrame:
-    """(node, seq): the labelled k-mer hashes of the classes ``wanted`` (node, doc_id, h1, h2), as bytes.
+    """(node, seq): the packed text of the classes ``wanted`` (node, doc_id, h1, h2), from which ``unpack`` has their sequences.
 
     A document's text is read again, by its id. Only where an id has several rows is it told by the fingerprint
     which of them belongs to the class.
     """
-
-    @F.arrow_udf("binary")
-    def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in sequences(as_strings(texts), p.k)], pa.binary())
-
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     one, many = split_by_id(wanted, c)
     out = texts.join(one.select("node", F.col("doc_id").alias("id")), "id").select("node", packed("text").alias("seq"))
     if many is not None:
         same = c.repeated.select(F.col("doc_id").alias("many_id"))
-        found = texts.join(same, texts["id"].eqNullSafe(same["many_id"]), "left_semi").select("id", fingerprints(p, True)("text").alias("f"))
-        found = found.select("id", F.col("f.h1").alias("h1"), F.col("f.h2").alias("h2"), F.col("f.seq").alias("seq"))
+        found = texts.join(same, texts["id"].eqNullSafe(same["many_id"]), "left_semi").select("id", fingerprints(p)("text").alias("f"), packed("text").alias("seq"))
+        found = found.select("id", F.col("f.h1").alias("h1"), F.col("f.h2").alias("h2"), "seq")
         found = found.join(many.select("node", "doc_id", "h1", "h2"), ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("doc_id")))
         out = out.union(found.groupBy("node").agg(F.min("seq").alias("seq")))
     return out
 
 
-def unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-
-
 def verified(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
     """The pairs (a, b) whose sequences align at the least similarity."""
 
     @F.arrow_udf("boolean")
     def near(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([aligned_similarity(a, b, p.similarity) >= p.similarity for a, b in zip(unpack(left), unpack(right), strict=True)], pa.bool_())
+        out = []
+        for at in runs(left, right):
+            both = pa.concat_arrays([left[at], right[at]]).dictionary_encode()  # the first class of a star comes many times
+            seqs, codes = list(unpack(both.dictionary, p.k)), both.indices.to_pylist()
+            half = len(codes) // 2
+            out += [aligned_similarity(seqs[a], seqs[b], p.similarity) >= p.similarity for a, b in zip(codes[:half], codes[half:], strict=True)]
+        return pa.array(out, pa.bool_())
 
     left, right = seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb"))
     return pairs.join(left, "a").join(right, "b").where(near("sa", "sb")).select("a", "b")
@@ -295,7 +317,7 @@ def components_of(docs: DataFrame, c: Classes, p: DedupParams) -> DataFrame:
     compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     wanted = c.classes.select("node", "doc_id", "h1", "h2").join(compared, "node")
     seqs = shared_checkpoint(sequence_table(docs, wanted, c, p))
-    components = shared_checkpoint(connected_components(verified(pairs, seqs, p), "a", "b"))
+    components = linked(pairs, seqs, p)
     units = family_units(large, components, seqs, p)
     if units is None:
         return components.toDF("node", "component")
@@ -303,6 +325,23 @@ def components_of(docs: DataFrame, c: Classes, p: DedupParams) -> DataFrame:
     return merged(components.toDF("node", "component"), connected_components(more, "a", "b").toDF("component", "joined"))
 
 
+def linked(pairs: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame:
+    """The components that the near ones of ``pairs`` (a < b) make.
+
+    Texts are joined to one pair of each b first, then only to those pairs that still lie between two components: a
+    pair inside a component can't change it, and most pairs of a large group lie there.
+    """
+    first = shared_checkpoint(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    components = shared_checkpoint(connected_components(verified(first, seqs, p), "a", "b"))
+    of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    more = shared_checkpoint(verified(rest, seqs, p))
+    if more.isEmpty():
+        return components
+    return shared_checkpoint(connected_components(components.toDF("a", "b").union(more), "a", "b"))
+
+
 def merged(components: DataFrame, joined: DataFrame) -> DataFrame:
     """(node, component) after further links between components; ``joined`` names the component that each belongs to.
 
@@ -324,22 +363,19 @@ def prefix_sizes(n, p: DedupParams):
 def family_units(large: DataFrame, components: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFrame | None:
     """Blocks of the families of the classes that large buckets leave apart: (family, i, j, node, component, left);
     None if there are none."""
-    named = large.select("key", "node").join(components.toDF("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = large.select("key", "node", "n").join(components.toDF("node", "component"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    loose = shared_checkpoint(named.join(shared_checkpoint(apart), "key").select("node", "component").distinct())
+    loose = shared_checkpoint(named.join(shared_checkpoint(apart), "key").select("node", "n", "component").distinct())
     if loose.isEmpty():
         return None
 
     def exploded(batches):
         for batch in batches:
-            nodes, components = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            seqs = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            sizes = np.array([len(x) for x in seqs], np.int32)
-            part = np.cumsum(sizes) // p.block_kmers  # at most about so many k-mers at once, whatever the batch holds
-            for k in np.unique(part):
-                at = np.flatnonzero(part == k)
-                columns = [np.repeat(x[at], sizes[at]) for x in (nodes, components, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.concatenate([seqs[i] for i in at]))], names=["node", "component", "n", "kmer"])
+            for at in runs(batch.column(2)):
+                seqs = list(unpack(batch.column(2)[at], p.k))
+                sizes = np.array([len(x) for x in seqs], np.int32)
+                columns = [np.repeat(np.asarray(x), sizes) for x in (batch.column(0)[at], batch.column(1)[at], sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.concatenate(seqs).view(np.int64))], names=["node", "component", "n", "kmer"])
 
     items = loose.join(seqs, "node").select("node", "component", "seq").mapInArrow(exploded, "node long, component long, n int, kmer long")
     often = items.groupBy("kmer").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
@@ -349,12 +385,11 @@ def family_units(large: DataFrame, components: DataFrame, seqs: DataFrame, p: De
     alone = F.col("n") - F.size("shared")
     prefix = shared.select("node", (offer - alone).alias("offered"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(look - alone, F.lit(0)).cast("int"))).alias("rank", "k"))
     prefix = prefix.where("k.apart").select("node", F.col("k.kmer").alias("kmer"), (F.col("rank") < F.col("offered")).alias("offers"))
-    prefix = shared_checkpoint(prefix.join(loose, "node"))
+    prefix = shared_checkpoint(prefix.join(loose.drop("n"), "node"))
     groups = prefix.groupBy("kmer").agg(F.min("node").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("offers").alias("offers"))
     groups = shared_checkpoint(groups.where("low <> high and offers").select("kmer", "hub"))
     families = connected_components(prefix.join(groups, "kmer").select("hub", "node"), "hub", "node").toDF("node", "family")
-    lengths = seqs.select("node", (F.length("seq") / 8).cast("long").alias("n"))
-    members = shared_checkpoint(families.join(loose, "node").join(lengths, "node").select("family", "node", "component", "n"))
+    members = shared_checkpoint(families.join(loose, "node").select("family", "node", "component", "n"))
     parts = members.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     parts = parts.groupBy("family").agg(F.max(F.struct("c", "n", "component")).alias("main"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     parts = shared_checkpoint(parts.where("parts > 1"))
@@ -406,7 +441,7 @@ def compared_blocks(units: DataFrame, seqs: DataFrame, p: DedupParams) -> DataFr
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("left", "descending"), ("node", "ascending")])
-        names, seqs, n_left = np.asarray(table["component"]), unpack(table["seq"]), int(np.sum(np.asarray(table["left"])))
+        names, seqs, n_left = np.asarray(table["component"]), list(unpack(table["seq"].combine_chunks(), p.k)), int(np.sum(np.asarray(table["left"])))
         alone = table["i"][0].as_py() == table["j"][0].as_py()  # a block with itself; else its own pairs are another unit's
         out = []
         if n_left and (alone or n_left < len(seqs)):
@@ -444,7 +479,7 @@ def keep_one(docs: DataFrame, p: DedupParams | None = None) -> DataFrame:
     unlinked = c.classes.select("node", "doc_id", "h1", "h2").join(found.where("not best"), "node", "left_anti").select("doc_id", "h1", "h2")
     _, many = split_by_id(unlinked, c)
     id_ = F.col("row.doc_id").cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), fingerprints(p, False)("text").alias("f"))
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), fingerprints(p)("text").alias("f"))
     rows = rows.join(c.repeated.select(F.col("doc_id").alias("many_id")), id_.eqNullSafe(F.col("many_id")), "left_semi")
     same = id_.eqNullSafe(F.col("doc_id")) & (F.col("f.h1") == F.col("h1")) & (F.col("f.h2") == F.col("h2"))
     first = rows.where("f.n_kmers > 0").join(many, same).groupBy("doc_id", "h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
