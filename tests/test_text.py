@@ -16,7 +16,7 @@ from texlake.functions import text as tx
 from texlake.kernels import adapters, display, encoding, findings, fixing, mend, options, plain, symbols, tokens, transport, walk, write
 from texlake.operators import deep
 from texlake.operators import findings as rows_of
-from texlake.plans import gates
+from texlake.plans import gates, layout
 from texlake.sources import model_json
 from texlake.streaming import text_streams
 
@@ -398,3 +398,20 @@ def test_gate_of_signs_holds_for_every_sign(spark):
     assert rows.where(~F.col("c").rlike(gates.MATH_SIGNS)).count() == 0
     rows = spark.createDataFrame([("Größe naïve Привет 中文 “quoted” – dash",)], "c string")
     assert rows.where(F.col("c").rlike(gates.MATH_SIGNS)).count() == 0
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, tmp_path):
+    rows_at = lambda df: [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    large = layout.spread(spark.range(0, 240_000, 1, 4), 4)
+    assert len(rows_at(large)) >= 8 and max(rows_at(large)) <= 2 * layout.TASK_ROWS and large.distinct().count() == 240_000
+    spark.range(0, 60_000, 1, 1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        one = spark.read.parquet(str(tmp_path / "one"))
+        assert one.rdd.getNumPartitions() > 4 and len(rows_at(one)) == 1  # splits of one row group: only one has rows
+        assert len(rows_at(layout.spread(one, 4))) == 4 and layout.spread(one, 4).distinct().count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for few in (spark.range(0, 40_000, 1, 4), spark.range(0)):
+        assert layout.spread(few, 4) is few
